@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallybook.schema import MONTH_LABELS
+from tallybook.schema import MONTH_CODES, MONTH_LABELS
 
 
 def year_text(date: Column) -> Column:
@@ -30,15 +30,19 @@ def split_year(date: Column) -> Column:
 
 def month_index(date: Column) -> Column:
     """Zero-based month, from padded or unpadded text."""
-    return split_month(date).cast("int") - F.lit(1)
+    return _first_part(date).cast("int") - F.lit(1)
 
 
 def month_code(date: Column) -> Column:
     """Two-digit month from padded or unpadded text; a month outside 1..12 is an error."""
-    number = split_month(date).cast("int")
-    return F.when(
-        number.between(1, 12), F.lpad(number.cast("string"), 2, "0")
-    ).otherwise(F.raise_error(F.concat(F.lit("month is not within 1..12: "), date)))
+    text = _first_part(date)
+    number = text.cast("int")
+    return (
+        # Nearly every date is padded; looking its month up is cheaper than parsing it.
+        F.when(text.isin(*MONTH_CODES), text)
+        .when(number.between(1, 12), F.lpad(number.cast("string"), 2, "0"))
+        .otherwise(F.raise_error(F.concat(F.lit("month is not within 1..12: "), date)))
+    )
 
 
 def month_label(code: Column) -> Column:
@@ -61,3 +65,7 @@ def ledger_date(date: Column) -> Column:
 
 def current_year() -> Column:
     return F.year(F.current_date()).cast("string")
+
+
+def _first_part(date: Column) -> Column:
+    return F.substring_index(date, "/", 1)

@@ -29,6 +29,7 @@ def read_exports(spark: SparkSession, folder: str, multi_line: bool = False) ->
     have eight fields fails the job. Set ``multi_line`` for exports with line breaks inside
     quotes; such files are not split.
     """
+    depth = _folder_depth(folder) + 1
     rows = (
         spark.read.schema(RAW_SCHEMA)
         .option("header", True)
@@ -41,7 +42,7 @@ def read_exports(spark: SparkSession, folder: str, multi_line: bool = False) ->
         # plain files next to a folder called a=b. The filter skips the deeper files unread.
         .option("recursiveFileLookup", True)
         .csv(folder)
-        .where(_depth(F.col("_metadata.file_path")) == _folder_depth(folder) + 1)
+        .where(_depth(F.col("_metadata.file_path")) == depth)
     )
     return _with_ingest_order(rows)
 
@@ -89,7 +90,7 @@ def _with_ingest_order(rows: DataFrame) -> DataFrame:
     file, block, row = INGEST_ORDER
     return rows.select(
         *LEDGER_COLUMNS,
-        F.col("_metadata.file_path").alias(file),
+        F.col("_metadata.file_name").alias(file),
         F.col("_metadata.file_block_start").alias(block),
         F.monotonically_increasing_id().alias(row),
     ).na.fill("", list(TEXT_COLUMNS))
