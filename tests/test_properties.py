@@ -1,0 +1,175 @@
+"""Laws that hold between operators, on the ledger of the order tables."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as contract
+from conftest import TESTDATA
+from tallybook.functions.money import money_as_double
+from tallybook.operators import balances, dimensions, totals
+from tallybook.operators.selection import select_category, select_transactions
+from tallybook.plans import reports
+from tallybook.schema import EXPENSE, MONTH_CODES
+from tallybook.sources.orders import ORDER_KEYS, order_ledger
+
+YEAR = "2001"
+CATEGORY = "5-LOW"
+
+
+@pytest.fixture(scope="module")
+def ledger(spark):
+    frame = order_ledger(spark, f"{TESTDATA}/sf0.01").cache()
+    yield frame
+    frame.unpersist()
+
+
+def rows(frame):
+    return sorted(tuple(r) for r in frame.collect())
+
+
+def test_year_argument_only_narrows_the_scan(spark, ledger):
+    narrowed = order_ledger(spark, f"{TESTDATA}/sf0.01", YEAR)
+    assert rows(narrowed) == rows(select_transactions(ledger, year=YEAR))
+
+
+def test_net_worth_is_the_sum_of_the_accounts(ledger):
+    selection = select_transactions(ledger, year=YEAR)
+    worth = balances.net_worth_monthly(selection, ORDER_KEYS)
+    by_account = balances.account_month_balance(selection, ORDER_KEYS).join(
+        balances.account_month_flows(selection), ["Account", "Month"]
+    )
+    summed = by_account.groupBy("Month").agg(
+        F.sum("EndBalance"), F.sum("Credit"), F.sum("Debit"), F.sum(F.col("Credit") + F.col("Debit"))
+    )
+    assert rows(worth) == rows(summed)
+
+
+def test_pivot_rows_add_up_to_the_years(ledger):
+    selection = select_category(ledger, CATEGORY)
+    added = totals.year_month_pivot(selection).select(
+        "Year", sum((F.col(f"m{c}") for c in MONTH_CODES[1:]), F.col("m01")).alias("Total")
+    )
+    assert rows(added) == rows(totals.year_totals(selection))
+
+
+def test_lists_cover_the_series(ledger):
+    selection = select_transactions(ledger, year=YEAR)
+    accounts = {r.value for r in dimensions.accounts(ledger).collect()}
+    shown = {r.Account for r in balances.account_month_balance(selection, ORDER_KEYS).collect()}
+    assert shown <= accounts
+    categories = {r.value for r in dimensions.categories(ledger).collect()}
+    assert {r.MainCategory for r in totals.category_month_sums(selection).collect()} <= categories
+
+
+def test_every_series_has_twelve_months(ledger):
+    for frame in (
+        reports.history(ledger, year=YEAR, order=ORDER_KEYS),
+        reports.flow_breakdown(ledger, EXPENSE, year=YEAR),
+        reports.category_seasonality(ledger, CATEGORY),
+    ):
+        sizes = frame.groupBy("Series").agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct("Month").alias("months")
+        )
+        assert {(r.n, r.months) for r in sizes.collect()} == {(12, 12)}
+
+
+def test_zero_months_of_the_short_year(ledger):
+    history = reports.history(ledger, year=YEAR, order=ORDER_KEYS)
+    late = history.where(F.col("Month") > "08").select("Value").distinct()
+    assert [r.Value for r in late.collect()] == [0.0]
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_partitioning_does_not_change_answers(ledger, partitions):
+    moved = ledger.repartition(partitions)
+    for report in (
+        lambda df: reports.history(df, category=CATEGORY, year=YEAR, order=ORDER_KEYS),
+        lambda df: reports.history(df, "BUILDING", year=YEAR, order=ORDER_KEYS),
+        lambda df: reports.category_seasonality(df, CATEGORY),
+        lambda df: reports.category_years(df, CATEGORY),
+    ):
+        assert rows(report(moved)) == rows(report(ledger))
+
+
+def test_closing_balance_against_brute_force(spark):
+    """Random postings with blank balances, several files and blocks, dates out of order."""
+    source = random.Random(7)
+    postings = [
+        (
+            f"{source.randint(1, 12):02d}/{source.randint(1, 28):02d}/2018",
+            source.choice("AB"),
+            None if source.random() < 0.3 else source.randint(-999, 999),
+            f"f{source.randint(0, 2)}",
+            source.randint(0, 3),
+            number,
+        )
+        for number in range(600)
+    ]
+    source.shuffle(postings)
+    ledger = spark.createDataFrame(
+        postings, "Date string, Account string, Balance int, _file string, _block long, _row long"
+    ).withColumns(
+        {
+            "Balance": F.col("Balance").cast("decimal(18,2)"),
+            "LedgerDate": F.to_date("Date", "MM/dd/yyyy"),
+        }
+    ).repartition(5)
+
+    def brute(position):
+        best = {}
+        for posting in postings:
+            if posting[2] is not None:
+                key = (posting[1], posting[0][:2])
+                if key not in best or position(posting) > position(best[key]):
+                    best[key] = posting
+        return sorted(
+            (account, month, float(best[account, month][2]) if (account, month) in best else 0.0)
+            for account in "AB"
+            for month in MONTH_CODES
+        )
+
+    for order, position in [
+        ("ingest", lambda p: p[3:]),
+        ("date", lambda p: (p[0], *p[3:])),
+    ]:
+        closing = balances.account_month_balance(ledger, order)
+        assert rows(money_as_double(closing)) == brute(position)
+
+
+def test_hot_customer_is_split_and_keeps_its_rows(spark, tmp_path, duck):
+    """One customer with a third of all orders, joined without a broadcast."""
+    orders = spark.read.parquet(f"{TESTDATA}/sf0.1/orders.parquet")
+    hot = orders.withColumn(
+        "o_custkey",
+        F.when(F.col("o_orderkey") % 3 == 0, F.lit(5).cast("bigint")).otherwise(F.col("o_custkey")),
+    )
+    hot.repartition(8).write.parquet(str(tmp_path / "orders.parquet"))
+    customers = spark.read.parquet(f"{TESTDATA}/sf0.1/customer.parquet")
+    customers.write.parquet(str(tmp_path / "customer.parquet"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        frame = contract.queries()["report_category_seasonality"](spark, str(tmp_path))
+        answer = rows(frame)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert "SortMergeJoin(skew=true)" in plan
+
+    connection = duck("0.1")
+    connection.execute(
+        f"CREATE OR REPLACE VIEW orders AS FROM '{tmp_path}/orders.parquet/*.parquet'"
+    )
+    sql = contract.oracle_sql()["report_category_seasonality"]
+    assert answer == sorted(connection.execute(sql).fetchall())
