@@ -18,7 +18,13 @@ from tallybook.operators.selection import select_category, select_transactions
 from tallybook.plans import reports
 from tallybook.schema import ALL, EXPENSE, INCOME, LEDGER_COLUMNS, MONTH_CODES
 from tallybook.sources.exports import union_all
-from tallybook.sources.orders import ORDER_KEYS, order_ledger
+from tallybook.sources.orders import (
+    ORDER_KEYS,
+    order_ledger,
+    post,
+    read_customers,
+    read_orders,
+)
 from tallybook.sources.sql import fetch, register
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,10 +56,12 @@ def _selected(**selectors: str) -> Query:
 
 
 def _ledger_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = order_ledger(spark, sf_dir)
-    flow = F.col("Subcategory")
-    parts = [ledger.where(flow == name) for name in (EXPENSE, INCOME, "Transfer")]
-    return _ledger_rows(union_all(*parts))
+    orders = read_orders(spark, sf_dir)
+    status = F.col("o_orderstatus")
+    expense, income = status == "F", status == "O"
+    transfer = status.isNull() | ~status.isin("F", "O")
+    parts = [orders.where(part) for part in (expense, income, transfer)]
+    return _ledger_rows(post(union_all(*parts), read_customers(spark, sf_dir)))
 
 
 def _ledger_sql_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,11 @@ def magnitude(amount: Column) -> Column:
 
 
 def exact_mean(total: Column, count: Column) -> Column:
-    """Mean of cents with enough decimals that a later rounding to cents cannot be off."""
-    return total.cast("decimal(24,2)") / count.cast("decimal(10,0)")
+    """Mean of amounts of up to four decimals, kept to thirteen.
+
+    Rounding it to cents afterwards cannot differ from rounding the mean itself.
+    """
+    return total.cast("decimal(26,4)") / count.cast("decimal(8,0)")
 
 
 def round_to_one_digit(amount: Column) -> Column:
@@ -36,11 +39,11 @@ def round_to_one_digit(amount: Column) -> Column:
 
 def money_as_double(frame: DataFrame) -> DataFrame:
     """Decimals are exact inside the operators; results leave as doubles."""
-    return frame.select(
+    return frame.selectExpr(
         *[
-            F.col(f.name).cast("double").alias(f.name)
+            f"CAST(`{f.name}` AS DOUBLE) AS `{f.name}`"
             if isinstance(f.dataType, DecimalType)
-            else F.col(f.name)
+            else f"`{f.name}`"
             for f in frame.schema.fields
         ]
     )

@@ -5,13 +5,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.operators.months import (
-    MONTH_KEY,
-    month_columns,
-    month_rows,
-    whole,
-    with_month,
-)
+from tallybook.operators.months import MONTH_KEY, twelve_months, with_month
 from tallybook.schema import (
     ALL,
     EXPENSE,
@@ -19,7 +13,6 @@ from tallybook.schema import (
     INCOME,
     INCOMES,
     INGEST_ORDER,
-    MONTH_CODES,
     MONTHLY_SAVINGS,
     NET_WORTH,
 )
@@ -33,33 +26,35 @@ def month_end_balance(selection: DataFrame, order: Order = "ingest") -> DataFram
     ``order`` decides which row is last: ``ingest`` is the order of the export's lines, ``date``
     puts the posting date first, and a list of columns sorts by those (unique together).
     """
-    return month_rows(_closing(selection, [], order), [], ["EndBalance"])
+    return twelve_months(_closing(selection, [], order), [], ["EndBalance"])
 
 
 def account_month_balance(selection: DataFrame, order: Order = "ingest") -> DataFrame:
     """Month-end balance per account."""
-    return month_rows(_closing(selection, ["Account"], order), ["Account"], ["EndBalance"])
+    keys = ["Account"]
+    return twelve_months(_closing(selection, keys, order), keys, ["EndBalance"])
 
 
 def account_month_flows(selection: DataFrame) -> DataFrame:
     """Monthly sums of credits and of debits per account."""
-    flows = {name: F.sum(amount) for name, amount in _flows().items()}
-    wide = month_columns(with_month(selection), ["Account"], flows)
-    return month_rows(wide, ["Account"], list(flows))
+    groups = (
+        with_month(selection)
+        .groupBy("Account", MONTH_KEY)
+        .agg(*[F.sum(amount).alias(name) for name, amount in _flows().items()])
+    )
+    return twelve_months(groups, ["Account"], ["Credit", "Debit"])
 
 
 def net_worth_monthly(selection: DataFrame, order: Order = "ingest") -> DataFrame:
     """Across accounts, per month: month-end balances, credits, debits and what is left of them."""
     measures = ["EndBalance", "Credit", "Debit"]
-    columns = [f"{m}_{code}" for m in measures for code in MONTH_CODES]
     accounts = _closing(selection, ["Account"], order, sums=_flows())
-    totals = accounts.groupBy(whole()).agg(*[F.sum(c).alias(c) for c in columns])
-    return month_rows(totals, [], measures).select(
+    return twelve_months(accounts, [], measures).selectExpr(
         "Month",
-        F.col("EndBalance").alias("NetWorth"),
-        F.col("Credit").alias("Expenses"),
-        F.col("Debit").alias("Income"),
-        (F.col("Credit") + F.col("Debit")).alias("MonthlySavings"),
+        "EndBalance AS NetWorth",
+        "Credit AS Expenses",
+        "Debit AS Income",
+        "Credit + Debit AS MonthlySavings",
     )
 
 
@@ -72,40 +67,28 @@ def account_history(
     """
     keep = None if category == ALL else F.col("MainCategory") == category
     accounts = _closing(selection, ["Account"], order, keep, _flows(keep))
-
-    def series(kind: int, name: Column, value) -> Column:
-        # The kind keeps an account called like a total apart from that total.
-        cells = [value(code).alias(f"Value_{code}") for code in MONTH_CODES]
-        return F.struct(F.lit(kind).alias("_kind"), name.alias("Series"), *cells)
-
-    def cell(measure: str):
-        return lambda code: F.col(f"{measure}_{code}").cast("decimal(38,2)")
-
-    def savings(code: str) -> Column:
-        return cell("Credit")(code) + cell("Debit")(code)
-
-    spread = accounts.select(
-        F.inline(
-            F.array(
-                series(0, F.col("Account"), cell("EndBalance")),
-                series(1, F.lit(NET_WORTH), cell("EndBalance")),
-                series(2, F.lit(EXPENSES), cell("Credit")),
-                series(3, F.lit(INCOMES), cell("Debit")),
-                series(4, F.lit(MONTHLY_SAVINGS), savings),
-            )
-        )
+    # The kind keeps an account called like a total apart from that total.
+    series = f"""inline(array(
+        struct(0 AS _kind, Account AS Series, EndBalance AS Value),
+        struct(1 AS _kind, '{NET_WORTH}' AS Series, EndBalance AS Value),
+        struct(2 AS _kind, '{EXPENSES}' AS Series, Credit AS Value),
+        struct(3 AS _kind, '{INCOMES}' AS Series, Debit AS Value),
+        struct(4 AS _kind, '{MONTHLY_SAVINGS}' AS Series, Credit AS Value),
+        struct(4 AS _kind, '{MONTHLY_SAVINGS}' AS Series, Debit AS Value)))"""
+    groups = (
+        accounts.selectExpr(MONTH_KEY, series)
+        .groupBy("_kind", "Series", MONTH_KEY)
+        .agg(F.sum("Value").alias("Value"))
     )
-    columns = [f"Value_{code}" for code in MONTH_CODES]
-    totals = spread.groupBy("_kind", "Series").agg(*[F.sum(c).alias(c) for c in columns])
-    return month_rows(totals, ["Series"], ["Value"])
+    return twelve_months(groups, ["_kind", "Series"], ["Value"]).drop("_kind")
 
 
 def _flows(keep: Column | None = None) -> dict[str, Column]:
-    kept = F.lit(True) if keep is None else keep
-    return {
-        "Credit": F.when((F.col("Subcategory") == EXPENSE) & kept, F.col("Amount")),
-        "Debit": F.when((F.col("Subcategory") == INCOME) & kept, F.col("Amount")),
-    }
+    flow = F.col("Subcategory")
+    credit, debit = flow == EXPENSE, flow == INCOME
+    if keep is not None:
+        credit, debit = credit & keep, debit & keep
+    return {"Credit": F.when(credit, F.col("Amount")), "Debit": F.when(debit, F.col("Amount"))}
 
 
 def _closing(
@@ -115,19 +98,19 @@ def _closing(
     keep: Column | None = None,
     sums: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Month columns of the last balance, and of sums, per key.
+    """Last balance, and sums, per key and month; NULL where nothing is kept.
 
     Two steps: the last row within each day (or block of a file), then the last of those. Each
     step compares one plain column, which hash aggregation can update in place; one ``max_by``
     over a struct of all order columns would sort the whole input by group instead.
     """
-    positions = _order_columns(order)
-    *outer, inner = positions
-    counted = F.col("Balance").isNotNull() & (F.lit(True) if keep is None else keep)
+    *outer, inner = _order_columns(order)
     steps = [f"_step{i}" for i in range(len(outer))]
+    counted = F.col("Balance").isNotNull()
+    if keep is not None:
+        counted &= keep
     sums = sums or {}
-
-    partial = (
+    within = (
         with_month(selection)
         .groupBy(*keys, MONTH_KEY, *[o.alias(s) for o, s in zip(outer, steps)])
         .agg(
@@ -136,15 +119,10 @@ def _closing(
         )
     )
     latest = F.col(steps[0]) if len(steps) == 1 else F.struct(*steps)
-    return month_columns(
-        partial,
-        keys,
-        {
-            "EndBalance": F.max_by(
-                "EndBalance", F.when(F.col("EndBalance").isNotNull(), latest)
-            ),
-            **{name: F.sum(name) for name in sums},
-        },
+    closed = F.col("EndBalance").isNotNull()
+    return within.groupBy(*keys, MONTH_KEY).agg(
+        F.max_by("EndBalance", F.when(closed, latest)).alias("EndBalance"),
+        *[F.sum(name).alias(name) for name in sums],
     )
 
 

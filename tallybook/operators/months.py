@@ -1,19 +1,15 @@
-"""Twelve-month tables: one column or one row per month, zero where nothing was posted."""
+"""Monthly groups and their twelve-month form, zero where nothing was posted."""
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.dates import month_code
 from tallybook.schema import MONTH_CODES
 
 MONTH_KEY = "_month"
-
-
-def whole() -> Column:
-    """Key of the one group of everything; unlike no key, it gives no row for no input."""
-    return F.lit(True).alias("_whole")
+_EVERY_MONTH = "explode(array({}))".format(", ".join(f"'{code}'" for code in MONTH_CODES))
 
 
 def with_month(rows: DataFrame) -> DataFrame:
@@ -21,38 +17,18 @@ def with_month(rows: DataFrame) -> DataFrame:
     return rows.withColumn(MONTH_KEY, month_code(F.col("Date")))
 
 
-def month_columns(
-    rows: DataFrame, keys: Sequence[str], measures: Mapping[str, Column]
+def twelve_months(
+    groups: DataFrame, keys: Sequence[str], measures: Sequence[str]
 ) -> DataFrame:
-    """One row per key and, per measure, one column per month called ``<measure>_<code>``.
+    """Sums of the measures per key and month, twelve rows for every key.
 
-    ``rows`` come from ``with_month``.
-    The pivot aggregates by key and month first, so only those small groups are spread out.
+    ``groups`` are aggregated by month already, so few. Each of them offers its key to all
+    months and its values to its own; the sum is combined before the shuffle. Where no group
+    goes in, no row comes out.
     """
-    groups = [F.col(k) for k in keys] or [whole()]
-    wide = (
-        rows.groupBy(*groups)
-        .pivot(MONTH_KEY, list(MONTH_CODES))
-        .agg(*[measure.alias(name) for name, measure in measures.items()])
-    )
-    # Spark puts the measure's name into a pivoted column only where there are several.
-    pivoted = "{code}_{name}" if len(measures) > 1 else "{code}"
-    return wide.select(
-        *keys,
-        *[
-            F.coalesce(F.col(pivoted.format(code=code, name=name)), F.lit(0)).alias(
-                f"{name}_{code}"
-            )
-            for name in measures
-            for code in MONTH_CODES
-        ],
+    own = f"CASE WHEN {MONTH_KEY} = Month THEN {{}} END"
+    return (
+        groups.withColumn("Month", F.expr(_EVERY_MONTH))
+        .groupBy(*keys, "Month")
+        .agg(*[F.expr(f"coalesce(sum({own.format(m)}), 0) AS {m}") for m in measures])
     )
-
-
-def month_rows(wide: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Turn the columns of ``month_columns`` into twelve rows per key."""
-    rows = [
-        F.struct(F.lit(code).alias("Month"), *[F.col(f"{m}_{code}").alias(m) for m in measures])
-        for code in MONTH_CODES
-    ]
-    return wide.select(*keys, F.inline(F.array(*rows)))

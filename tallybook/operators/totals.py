@@ -1,14 +1,14 @@
 """Category totals, year-by-month tables and yearly comparisons."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.dates import split_year
 from tallybook.functions.money import exact_mean, magnitude
-from tallybook.operators.months import month_columns, month_rows, whole, with_month
+from tallybook.operators.months import MONTH_KEY, twelve_months, with_month
 from tallybook.schema import MEAN_OF_YEARS, MONTH_CODES, MONTHLY_AVERAGE
 
-_AMOUNT_COLUMNS = [f"Amount_{code}" for code in MONTH_CODES]
+_PIVOTED = [f"m{code}" for code in MONTH_CODES]
 
 
 def category_share(selection: DataFrame) -> DataFrame:
@@ -29,23 +29,31 @@ def category_bars(selection: DataFrame) -> DataFrame:
 
 def category_month_sums(selection: DataFrame) -> DataFrame:
     """Sum per category and month."""
-    wide = month_columns(with_month(selection), ["MainCategory"], {"Amount": F.sum("Amount")})
-    return month_rows(wide, ["MainCategory"], ["Amount"])
+    return twelve_months(
+        _month_sums(selection, "MainCategory"), ["MainCategory"], ["Amount"]
+    )
 
 
 def year_month_pivot(selection: DataFrame) -> DataFrame:
     """One row per year, one column per month: ``m01`` to ``m12``."""
-    return _year_months(selection).select(
-        "Year", *[F.col(f"Amount_{code}").alias(f"m{code}") for code in MONTH_CODES]
+    return (
+        with_month(_with_year(selection))
+        .withColumn("_column", F.concat(F.lit("m"), MONTH_KEY))
+        .groupBy("Year")
+        .pivot("_column", _PIVOTED)
+        .agg(F.sum("Amount"))
+        .na.fill(0, _PIVOTED)
     )
 
 
 def monthly_mean(selection: DataFrame) -> DataFrame:
     """Mean over the years per month; a year without postings in a month counts as zero."""
+    means = [F.expr(f"CAST(sum({m}) AS DOUBLE) / count({m}) AS {m}") for m in _PIVOTED]
+    # Grouping by a constant instead of by nothing gives no row for no years.
     return (
-        _year_months(selection)
-        .groupBy(whole())
-        .agg(*[_mean_of(f"Amount_{code}").alias(f"m{code}") for code in MONTH_CODES])
+        year_month_pivot(selection)
+        .groupBy(F.lit(True).alias("_whole"))
+        .agg(*means)
         .drop("_whole")
     )
 
@@ -53,15 +61,19 @@ def monthly_mean(selection: DataFrame) -> DataFrame:
 def seasonality(selection: DataFrame) -> DataFrame:
     """A twelve-month series per year, and the mean of the years.
 
-    The rollup gives the years and their mean in one pass: a year's mean is its own value.
+    Each cell counts for its year, where it is alone, and for the mean.
     """
-    years = (
-        _year_months(selection)
-        .rollup("Year")
-        .agg(F.grouping("Year").alias("_mean"), *[_mean_of(c).alias(c) for c in _AMOUNT_COLUMNS])
-        .withColumn("Series", _label(MONTHLY_AVERAGE))
+    years = twelve_months(
+        _month_sums(_with_year(selection), "Year"), ["Year"], ["Amount"]
+    )
+    series = f"""inline(array(
+        struct(0 AS _kind, Year AS Series), struct(1 AS _kind, '{MONTHLY_AVERAGE}' AS Series)))"""
+    return (
+        years.selectExpr("Month", "Amount", series)
+        .groupBy("_kind", "Series", "Month")
+        .agg(F.expr("CAST(sum(Amount) AS DOUBLE) / count(Amount) AS Value"))
+        .drop("_kind")
     )
-    return month_rows(years, ["Series"], ["Amount"]).withColumnRenamed("Amount", "Value")
 
 
 def year_totals(selection: DataFrame) -> DataFrame:
@@ -72,24 +84,24 @@ def year_totals(selection: DataFrame) -> DataFrame:
 
 
 def year_comparison(selection: DataFrame) -> DataFrame:
-    """Size of every year and of the mean year, the mean taken before rounding."""
+    """Size of every year and of the mean year, the mean taken before rounding.
+
+    The rollup gives both in one pass: the mean over one year is that year's sum.
+    """
     mean = exact_mean(F.sum("Total"), F.count("Total"))
+    label = F.when(F.col("_all") == 1, F.lit(MEAN_OF_YEARS)).otherwise(F.col("Year"))
     return (
         year_totals(selection)
         .rollup("Year")
-        .agg(F.grouping("Year").alias("_mean"), magnitude(mean).alias("Total"))
-        .select(_label(MEAN_OF_YEARS).alias("Label"), "Total")
+        .agg(F.grouping("Year").alias("_all"), magnitude(mean).alias("Total"))
+        .select(label.alias("Label"), "Total")
     )
 
 
-def _year_months(selection: DataFrame) -> DataFrame:
-    rows = with_month(selection).withColumn("Year", split_year(F.col("Date")))
-    return month_columns(rows, ["Year"], {"Amount": F.sum("Amount")})
-
-
-def _mean_of(column: str) -> Column:
-    return F.sum(column).cast("double") / F.count(column)
+def _month_sums(selection: DataFrame, key: str) -> DataFrame:
+    return with_month(selection).groupBy(key, MONTH_KEY).agg(F.sum("Amount").alias("Amount"))
 
 
-def _label(name: str) -> Column:
-    return F.when(F.col("_mean") == 1, F.lit(name)).otherwise(F.col("Year"))
+def _with_year(selection: DataFrame) -> DataFrame:
+    """Replace the literal ``Year`` text by the part of the date after the second slash."""
+    return selection.withColumn("Year", split_year(F.col("Date")))

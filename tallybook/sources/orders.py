@@ -3,51 +3,67 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.functions import dates
-from tallybook.schema import EXPENSE, INCOME, MONEY
+from tallybook.schema import EXPENSE, INCOME
+from tallybook.sources.exports import with_period
+
+# The columns that are read, so that no file has to be opened to find them out.
+ORDERS = """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+    o_orderdate timestamp_ntz, o_orderpriority string"""
+CUSTOMERS = "c_custkey bigint, c_acctbal double, c_mktsegment string"
 
 # Rows of this ledger have no file position; the order date and key take its place.
 ORDER_KEYS = ("_d", "_k")
 
+_POSTING = (
+    "concat(substring(_iso, 6, 2), '/', substring(_iso, 9, 2), '/', substring(_iso, 1, 4)) AS Date",
+    "concat('Order#', o_orderkey) AS Title",
+    "'' AS Comment",
+    "o_orderpriority AS MainCategory",
+    f"""CASE o_orderstatus WHEN 'F' THEN '{EXPENSE}' WHEN 'O' THEN '{INCOME}'
+        ELSE 'Transfer' END AS Subcategory""",
+    "c_mktsegment AS Account",
+    """CAST(CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END
+        AS DECIMAL(18,2)) AS Amount""",
+    "CAST(c_acctbal AS DECIMAL(18,2)) AS Balance",
+    "_d AS LedgerDate",
+    "_d",
+    "o_orderkey AS _k",
+)
+
 
 def order_ledger(spark: SparkSession, directory: str, year: str | None = None) -> DataFrame:
-    """Typed ledger over ``orders`` and ``customer``, of all years or of one.
+    """Typed ledger over the order tables of a directory, of all years or of one.
 
     A given year becomes a range over the order date, which reaches the parquet scan; the text
-    comparison of the selectors cannot. The join carries no broadcast hint: Spark broadcasts the
-    customers below its size threshold, and splits hot customers of a sort-merge join otherwise.
+    comparison of the selectors cannot.
     """
-    orders = spark.read.parquet(f"{directory}/orders.parquet")
-    customers = spark.read.parquet(f"{directory}/customer.parquet")
+    orders = read_orders(spark, directory)
     if year is not None:
-        first = F.make_date(F.lit(int(year)), F.lit(1), F.lit(1)).cast("timestamp_ntz")
-        after = F.make_date(F.lit(int(year) + 1), F.lit(1), F.lit(1)).cast("timestamp_ntz")
-        orders = orders.where((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < after))
-
-    day = F.col("o_orderdate").cast("date")
-    iso = day.cast("string")
-    date = F.concat_ws("/", F.substring(iso, 6, 2), F.substring(iso, 9, 2), F.substring(iso, 1, 4))
-    status = F.col("o_orderstatus")
-    price = F.col("o_totalprice")
-    return (
-        orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            date.alias("Date"),
-            F.concat(F.lit("Order#"), F.col("o_orderkey")).alias("Title"),
-            F.lit("").alias("Comment"),
-            F.col("o_orderpriority").alias("MainCategory"),
-            F.when(status == "F", EXPENSE)
-            .when(status == "O", INCOME)
-            .otherwise("Transfer")
-            .alias("Subcategory"),
-            F.col("c_mktsegment").alias("Account"),
-            F.when(status == "F", -price).otherwise(price).cast(MONEY).alias("Amount"),
-            F.col("c_acctbal").cast(MONEY).alias("Balance"),
-            day.alias("LedgerDate"),
-            day.alias("_d"),
-            F.col("o_orderkey").alias("_k"),
-        )
-        .withColumns(
-            {"Year": dates.year_text(F.col("Date")), "Month": dates.month_text(F.col("Date"))}
+        first, after = int(year), int(year) + 1
+        orders = orders.where(
+            f"o_orderdate >= TIMESTAMP_NTZ'{first:04d}-01-01'"
+            f" AND o_orderdate < TIMESTAMP_NTZ'{after:04d}-01-01'"
         )
+    return post(orders, read_customers(spark, directory))
+
+
+def read_orders(spark: SparkSession, directory: str) -> DataFrame:
+    return spark.read.schema(ORDERS).parquet(f"{directory}/orders.parquet")
+
+
+def read_customers(spark: SparkSession, directory: str) -> DataFrame:
+    return spark.read.schema(CUSTOMERS).parquet(f"{directory}/customer.parquet")
+
+
+def post(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """Orders to postings.
+
+    The join carries no broadcast hint: Spark broadcasts the customers below its size threshold,
+    and splits hot customers of a sort-merge join otherwise.
+    """
+    postings = (
+        orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .selectExpr("*", "CAST(o_orderdate AS DATE) AS _d")
+        .selectExpr("*", "CAST(_d AS STRING) AS _iso")
     )
+    return with_period(postings.selectExpr(*_POSTING))
