@@ -9,7 +9,10 @@ from tallybook.schema import MONEY
 
 def parse_money(text: Column, money: DataType = MONEY) -> Column:
     """Text to decimal: blank is missing, any other text that is not a number is an error."""
-    return F.nullif(F.trim(text), F.lit("")).cast(money)
+    number = F.trim(text).try_cast(money)
+    return F.when(number.isNotNull() | text.isNull() | (F.trim(text) == ""), number).otherwise(
+        F.raise_error(F.concat(F.lit("not an amount: "), text))
+    )
 
 
 def magnitude(amount: Column) -> Column:

@@ -27,7 +27,7 @@ def years(ledger: DataFrame) -> DataFrame:
 def month_options(ledger: DataFrame) -> DataFrame:
     """The thirteen month choices, label and code."""
     codes = F.explode(F.array(*[F.lit(c) for c in MONTH_LABELS]))
-    options = ledger.sparkSession.range(1).select(codes.alias("code"))
+    options = _one_row(ledger).select(codes.alias("code"))
     return options.select(month_label(F.col("code")).alias("label"), "code")
 
 
@@ -39,9 +39,14 @@ def months_in_use(ledger: DataFrame) -> DataFrame:
 
 def append_row(frame: DataFrame, **values: Column) -> DataFrame:
     """Bag union with one more row."""
-    row = frame.sparkSession.range(1).select(*[v.alias(k) for k, v in values.items()])
+    row = _one_row(frame).select(*[v.alias(k) for k, v in values.items()])
     return frame.unionByName(row)
 
 
+def _one_row(frame: DataFrame) -> DataFrame:
+    # In one partition: the default is one per core of the cluster.
+    return frame.sparkSession.range(0, 1, 1, 1)
+
+
 def _with_all(values: DataFrame) -> DataFrame:
     return append_row(values.distinct(), value=F.lit(ALL)).orderBy("value")

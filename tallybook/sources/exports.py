@@ -2,6 +2,7 @@
 
 import posixpath
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,11 +80,15 @@ def typed_ledger(
 
 
 def union_all(*ledgers: DataFrame) -> DataFrame:
-    """Bag union of ledgers by column name."""
-    first, *others = ledgers
-    for other in others:
-        first = first.unionByName(other)
-    return first
+    """Bag union of ledgers by column name, the lines of each after those of the one before."""
+    file = INGEST_ORDER[0]
+    numbered = [
+        ledger.withColumn(file, F.concat(F.lit(f"{number:06d}/"), file))
+        if file in ledger.columns
+        else ledger
+        for number, ledger in enumerate(ledgers)
+    ]
+    return reduce(DataFrame.unionByName, numbered)
 
 
 def _with_ingest_order(rows: DataFrame) -> DataFrame:

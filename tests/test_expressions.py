@@ -67,9 +67,14 @@ def test_parse_money(spark):
     assert on(spark, money.parse_money, "") is None
     assert on(spark, money.parse_money, "  ") is None
     assert on(spark, money.parse_money, None) is None
-    for junk in ("1,234.5", "abc", "$3"):
-        with pytest.raises(PySparkException):
-            on(spark, money.parse_money, junk)
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            for junk in ("1,234.5", "abc", "$3", "1" * 20):
+                with pytest.raises(PySparkException, match="not an amount"):
+                    on(spark, money.parse_money, junk)
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
 
 
 def test_magnitude_rounds_half_away_from_zero(spark):

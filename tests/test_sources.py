@@ -7,10 +7,12 @@ import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 import golden
 from tallybook.operators import balances, dimensions, totals
 from tallybook.operators.selection import select_category, select_transactions
+from tallybook.plans import reports
 from tallybook.plans.ingest import ingest
 from tallybook.schema import INGEST_ORDER, LEDGER_COLUMNS
 from tallybook.sources.exports import read_combined, read_exports, typed_ledger, union_all
@@ -227,6 +229,37 @@ def test_union_all_keeps_duplicates(spark, folder):
     assert union_all(ledger).count() == 10
 
 
+def test_union_all_keeps_the_order_of_its_ledgers(spark, tmp_path):
+    older, newer = (
+        typed_ledger(
+            read_exports(
+                spark, golden.write(tmp_path / name, same=HEADER + row(Balance=balance))
+            )
+        )
+        for name, balance in (("older", "1.00"), ("newer", "2.00"))
+    )
+    for ledgers, last in (((older, newer), "2.00"), ((newer, older), "1.00")):
+        both = union_all(*ledgers)
+        nested = union_all(both, ledgers[1])
+        for ledger in (both, nested):
+            closing = balances.month_end_balance(ledger).where("Month = '01'").first()
+            assert closing.EndBalance == Decimal(last)
+
+
+def test_finer_money(spark, tmp_path):
+    folder = golden.write(
+        tmp_path / "csv", one=HEADER + row(Amount="-1.2345", Balance="9.8765")
+    )
+    fine = ingest(spark, folder, str(tmp_path / "table"), money=DecimalType(18, 4))
+    history = reports.history(fine, year="2018").where("Month = '01'")
+    assert {r.Series: r.Value for r in history.collect()} == {
+        "A": 9.8765, "Net Worth": 9.8765, "Expenses": -1.2345, "Income": 0.0,
+        "Monthly Savings": -1.2345,
+    }
+    years = reports.category_years(fine).collect()
+    assert {r.Label: r.Total for r in years} == {"2018": 1.23, "Mean of All Years": 1.23}
+
+
 def test_sql_with_named_parameters(spark, folder):
     register(typed_ledger(read_exports(spark, folder)))
     query = "SELECT Title FROM ledger WHERE MainCategory = :category ORDER BY Title"
