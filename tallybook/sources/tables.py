@@ -37,6 +37,8 @@ def write_table(ledger: DataFrame, path: str, mode: str = "errorifexists") -> No
         .hint("rebalance", "Year")
         .sortWithinPartitions("Year", "Account", "MainCategory")
         .write.mode(mode)
+        # An overwrite replaces the whole table, also the years that no longer occur.
+        .option("partitionOverwriteMode", "static")
         .partitionBy("Year")
         .parquet(path)
     )

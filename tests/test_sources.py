@@ -3,6 +3,7 @@
 import json
 from decimal import Decimal
 
+import pyarrow.parquet as pq
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -186,7 +187,21 @@ def test_table_is_partitioned_by_year_text(spark, tmp_path, folder):
     assert lines(ledger) == lines(typed_ledger(read_exports(spark, folder)))
     with pytest.raises(PySparkException):
         ingest(spark, folder, path)
-    assert ingest(spark, folder, path, mode="overwrite").count() == 10
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        (tmp_path / "csv" / "checking.csv").unlink()  # the only file with 2017
+        assert ingest(spark, folder, path, mode="overwrite").count() == 3
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+
+
+def test_files_of_the_table_are_sorted_by_account(spark, tmp_path):
+    lines = "".join(row(Account=f"A{i * 7 % 10}", MainCategory=f"C{i % 3}") for i in range(300))
+    ingest(spark, golden.write(tmp_path / "csv", one=HEADER + lines), str(tmp_path / "table"))
+    for file in (tmp_path / "table" / "Year=2018").glob("*.parquet"):
+        stored = pq.read_table(file, columns=["Account", "MainCategory"]).to_pylist()
+        keys = [(r["Account"], r["MainCategory"]) for r in stored]
+        assert keys == sorted(keys)
 
 
 def test_blank_year_survives_the_table(spark, tmp_path):
