@@ -26,30 +26,25 @@ def month_end_balance(selection: DataFrame, order: Order = "ingest") -> DataFram
     ``order`` decides which row is last: ``ingest`` is the order of the export's lines, ``date``
     puts the posting date first, and a list of columns sorts by those (unique together).
     """
-    return twelve_months(_closing(selection, [], order), [], ["EndBalance"])
+    return _monthly(_closing(selection, [], order), [], ["EndBalance"])
 
 
 def account_month_balance(selection: DataFrame, order: Order = "ingest") -> DataFrame:
     """Month-end balance per account."""
     keys = ["Account"]
-    return twelve_months(_closing(selection, keys, order), keys, ["EndBalance"])
+    return _monthly(_closing(selection, keys, order), keys, ["EndBalance"])
 
 
 def account_month_flows(selection: DataFrame) -> DataFrame:
     """Monthly sums of credits and of debits per account."""
-    groups = (
-        with_month(selection)
-        .groupBy("Account", MONTH_KEY)
-        .agg(*[F.sum(amount).alias(name) for name, amount in _flows().items()])
-    )
-    return twelve_months(groups, ["Account"], ["Credit", "Debit"])
+    flows = {name: F.sum(amount) for name, amount in _flows().items()}
+    return twelve_months(with_month(selection), ["Account"], flows)
 
 
 def net_worth_monthly(selection: DataFrame, order: Order = "ingest") -> DataFrame:
     """Across accounts, per month: month-end balances, credits, debits and what is left of them."""
-    measures = ["EndBalance", "Credit", "Debit"]
     accounts = _closing(selection, ["Account"], order, sums=_flows())
-    return twelve_months(accounts, [], measures).selectExpr(
+    return _monthly(accounts, [], ["EndBalance", "Credit", "Debit"]).selectExpr(
         "Month",
         "EndBalance AS NetWorth",
         "Credit AS Expenses",
@@ -75,12 +70,12 @@ def account_history(
         struct(3 AS _kind, '{INCOMES}' AS Series, Debit AS Value),
         struct(4 AS _kind, '{MONTHLY_SAVINGS}' AS Series, Credit AS Value),
         struct(4 AS _kind, '{MONTHLY_SAVINGS}' AS Series, Debit AS Value)))"""
-    groups = (
-        accounts.selectExpr(MONTH_KEY, series)
-        .groupBy("_kind", "Series", MONTH_KEY)
-        .agg(F.sum("Value").alias("Value"))
-    )
-    return twelve_months(groups, ["_kind", "Series"], ["Value"]).drop("_kind")
+    spread = accounts.selectExpr(MONTH_KEY, series)
+    return _monthly(spread, ["_kind", "Series"], ["Value"]).drop("_kind")
+
+
+def _monthly(groups: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    return twelve_months(groups, keys, {m: F.sum(m) for m in measures})
 
 
 def _flows(keep: Column | None = None) -> dict[str, Column]:

@@ -1,15 +1,14 @@
-"""Monthly groups and their twelve-month form, zero where nothing was posted."""
+"""The twelve-month form of monthly aggregates, zero where nothing was posted."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.dates import month_code
 from tallybook.schema import MONTH_CODES
 
 MONTH_KEY = "_month"
-_EVERY_MONTH = "explode(array({}))".format(", ".join(f"'{code}'" for code in MONTH_CODES))
 
 
 def with_month(rows: DataFrame) -> DataFrame:
@@ -18,17 +17,29 @@ def with_month(rows: DataFrame) -> DataFrame:
 
 
 def twelve_months(
-    groups: DataFrame, keys: Sequence[str], measures: Sequence[str]
+    rows: DataFrame, keys: Sequence[str], measures: Mapping[str, Column]
 ) -> DataFrame:
-    """Sums of the measures per key and month, twelve rows for every key.
+    """Aggregates per key and month, twelve rows for every key that occurs.
 
-    ``groups`` are aggregated by month already, so few. Each of them offers its key to all
-    months and its values to its own; the sum is combined before the shuffle. Where no group
-    goes in, no row comes out.
+    The pivot aggregates by key and month before it gathers the months of a key in one row, so
+    only groups are spread out. Where no row goes in, none comes out, also without keys:
+    grouping by a constant, unlike grouping by nothing, gives no row for no input.
     """
-    own = f"CASE WHEN {MONTH_KEY} = Month THEN {{}} END"
-    return (
-        groups.withColumn("Month", F.expr(_EVERY_MONTH))
-        .groupBy(*keys, "Month")
-        .agg(*[F.expr(f"coalesce(sum({own.format(m)}), 0) AS {m}") for m in measures])
+    groups = [F.col(key) for key in keys] or [F.lit(True).alias("_whole")]
+    wide = (
+        rows.groupBy(*groups)
+        .pivot(MONTH_KEY, list(MONTH_CODES))
+        .agg(*[measure.alias(name) for name, measure in measures.items()])
     )
+    # Spark puts the measure's name into a pivoted column only where there are several.
+    pivoted = "`{month}_{name}`" if len(measures) > 1 else "`{month}`"
+    months = ", ".join(
+        f"struct('{month}' AS Month, "
+        + ", ".join(
+            f"coalesce({pivoted.format(month=month, name=name)}, 0) AS {name}"
+            for name in measures
+        )
+        + ")"
+        for month in MONTH_CODES
+    )
+    return wide.selectExpr(*keys, f"inline(array({months}))")

@@ -29,9 +29,7 @@ def category_bars(selection: DataFrame) -> DataFrame:
 
 def category_month_sums(selection: DataFrame) -> DataFrame:
     """Sum per category and month."""
-    return twelve_months(
-        _month_sums(selection, "MainCategory"), ["MainCategory"], ["Amount"]
-    )
+    return _month_sums(selection, "MainCategory")
 
 
 def year_month_pivot(selection: DataFrame) -> DataFrame:
@@ -63,9 +61,7 @@ def seasonality(selection: DataFrame) -> DataFrame:
 
     Each cell counts for its year, where it is alone, and for the mean.
     """
-    years = twelve_months(
-        _month_sums(_with_year(selection), "Year"), ["Year"], ["Amount"]
-    )
+    years = _month_sums(_with_year(selection), "Year")
     series = f"""inline(array(
         struct(0 AS _kind, Year AS Series), struct(1 AS _kind, '{MONTHLY_AVERAGE}' AS Series)))"""
     return (
@@ -99,7 +95,7 @@ def year_comparison(selection: DataFrame) -> DataFrame:
 
 
 def _month_sums(selection: DataFrame, key: str) -> DataFrame:
-    return with_month(selection).groupBy(key, MONTH_KEY).agg(F.sum("Amount").alias("Amount"))
+    return twelve_months(with_month(selection), [key], {"Amount": F.sum("Amount")})
 
 
 def _with_year(selection: DataFrame) -> DataFrame:
