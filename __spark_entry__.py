@@ -7,6 +7,8 @@ All queries run over the ledger that ``orders`` and ``customer`` make up (see
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -221,6 +223,30 @@ def _records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    found = ledger_queries()
+    for module in _training_data():
+        found |= module.queries()
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    found = ledger_oracle_sql()
+    for module in _training_data():
+        found |= module.oracle_sql()
+    return found
+
+
+def _training_data() -> list[ModuleType]:
+    """The query modules of the training-data pipeline, where that part is installed."""
+    try:
+        return [import_module(name) for name in ("tallybook.llm.queries", "corpus_pipeline")]
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("tallybook.llm", "tallybook.llm.queries", "corpus_pipeline"):
+            raise
+        return []
+
+
+def ledger_queries() -> dict[str, Query]:
     return {
         "ledger_union_all": _ledger_union_all,
         "ledger_sql_scan": _ledger_sql_scan,
@@ -429,7 +455,7 @@ _JSON = (
 )
 
 
-def oracle_sql() -> dict[str, str]:
+def ledger_oracle_sql() -> dict[str, str]:
     expense = _flow(EXPENSE)
     return {
         "ledger_union_all": _sql(f"SELECT {_ROWS} FROM ledger"),

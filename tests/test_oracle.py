@@ -5,8 +5,8 @@ import pytest
 import __spark_entry__ as contract
 from conftest import TESTDATA
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+QUERIES = contract.ledger_queries()
+ORACLE = contract.ledger_oracle_sql()
 
 
 def canonical(columns, rows):

@@ -13,7 +13,7 @@ from tallybook.plans import reports
 from tallybook.plans.ingest import ingest
 from tallybook.sources.exports import read_exports, typed_ledger
 
-QUERIES = contract.queries()
+QUERIES = contract.ledger_queries()
 SF = f"{TESTDATA}/sf0.01"
 
 
