@@ -105,15 +105,21 @@ def runs(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.
 def span_hashes(
     data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True
 ) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, by its content alone.
+    """A 64-bit hash of each span of bytes, by its content alone; starts and ends are sorted."""
+    return many_span_hashes(data, [(starts, ends)], lower)[0]
+
+
+def many_span_hashes(
+    data: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]], lower: bool = True
+) -> list[np.ndarray]:
+    """Hashes of several lists of spans, as ``span_hashes`` has them, in one pass.
 
     Differences of running sums of a polynomial, in chunks, so that the working memory does not
     grow with the text.
     """
     values = _LOWER_VALUES if lower else _VALUES
-    at_start = np.empty(len(starts), np.uint64)
-    at_end = np.empty(len(starts), np.uint64)
-    shift = np.empty(len(starts), np.uint64)
+    sums_at = [(np.zeros(len(s), np.uint64), np.zeros(len(s), np.uint64)) for s, _ in spans]
+    shifts = [np.ones(len(s), np.uint64) for s, _ in spans]
     carried, up, down = np.uint64(0), np.uint64(1), np.uint64(1)
     with np.errstate(over="ignore"):
         for base in range(0, max(len(data), 1), _CHUNK):
@@ -122,15 +128,19 @@ def span_hashes(
             sums[0] = carried
             np.cumsum(values[chunk] * _UP[: len(chunk)] * up, out=sums[1:])
             sums[1:] += carried
-            a, b = np.searchsorted(starts, (base, base + _CHUNK))
-            local = starts[a:b] - base
-            at_start[a:b] = sums[local]
-            shift[a:b] = _DOWN[local] * down
-            a, b = np.searchsorted(ends, (base, base + _CHUNK), "right")
-            at_end[a:b] = sums[ends[a:b] - base]
+            for (starts, ends), (at_start, at_end), shift in zip(spans, sums_at, shifts):
+                a, b = np.searchsorted(starts, (base, base + _CHUNK))
+                local = starts[a:b] - base
+                at_start[a:b] = sums[local]
+                shift[a:b] = _DOWN[local] * down
+                a, b = np.searchsorted(ends, (base, base + _CHUNK), "right")
+                at_end[a:b] = sums[ends[a:b] - base]
             carried = sums[-1]
             up, down = up * _UP[_CHUNK], down * _DOWN[_CHUNK]
-        return mix((at_end - at_start) * shift + (ends - starts).astype(np.uint64))
+        return [
+            mix((at_end - at_start) * shift + (ends - starts).astype(np.uint64))
+            for (starts, ends), (at_start, at_end), shift in zip(spans, sums_at, shifts)
+        ]
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -143,9 +153,3 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         for i in range(n):
             grams = mix(grams * _BASE + words[i : i + count])
     return grams
-
-
-def batches_of(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[f.name], f.type) for f in schema], schema=schema
-    )

@@ -5,7 +5,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import chat, secrets, sharding
+from tallybook.llm import (
+    chat,
+    decontamination,
+    exact_dedup,
+    langid,
+    quality,
+    secrets,
+    sharding,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +22,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet").select(
+        "doc_id",
+        "keep_id",
+        F.col("copies").alias("group_size"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.col("digest").alias("text_sha256"),
+    )
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(~langid.held_out())
+    vectors = quality.word_vectors(docs)
+    network = quality.train(docs, labels, vectors)
+    return quality.score(docs, vectors, network).select(
+        "doc_id",
+        langid.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    return langid.predict(docs, model).select(
+        "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontamination.benchmark_hits(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+    named = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(named, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_manifest(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +119,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_exact_dedup": op2_exact_dedup,
+        "op4_quality": op4_quality,
+        "op5_langid": op5_langid,
+        "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
         "op9_secrets": op9_secrets,
         "op10_chat": op10_chat,
