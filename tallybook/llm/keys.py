@@ -10,18 +10,18 @@ BUCKETS = 1 << 18
 
 
 def join_counted(
-    rows: DataFrame, groups: DataFrame, key: str, copies: str, total: int
+    rows: DataFrame, groups: DataFrame, key: str | list[str], copies: str, total: int
 ) -> DataFrame:
     """Inner join of rows with the one group of their key, where ``copies`` counts its rows.
 
     At most ``HOT_KEYS`` keys can hold a ``1 / HOT_KEYS`` share of the rows. Their groups are
     broadcast, so that no shuffle gathers a frequent key; the others are joined by key.
     """
+    key = [key] if isinstance(key, str) else key
     hot = F.col(copies) >= max(total / HOT_KEYS, 2)
-    frequent = F.broadcast(groups.where(hot))
-    return rows.join(frequent, key).unionByName(
-        rows.join(frequent.select(key), key, "left_anti").join(groups.where(~hot), key)
-    )
+    frequent = groups.where(hot)
+    rare = rows.join(F.broadcast(frequent.select(*key)), key, "left_anti")
+    return rows.join(F.broadcast(frequent), key).unionByName(rare.join(groups.where(~hot), key))
 
 
 def bucket_of(*keys: str | Column) -> Column:

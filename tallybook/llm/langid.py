@@ -86,13 +86,13 @@ def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
     columns = [c for c in columns or ["doc_id"] if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    read = docs.select(*columns, F.col("text").alias("_text"))
+    read = docs.select(*columns, *[] if "text" in columns else ["text"])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            slices = text_slices(batch.column("_text"))
+            slices = text_slices(batch.column("text"))
             answers = [_documents(texts, shared.value) for texts in slices]
             names = [*shared.value.languages, UNDETERMINED]
             best = np.concatenate([a for a, _ in answers])

@@ -10,6 +10,9 @@ from tallybook.llm import (
     decontamination,
     exact_dedup,
     langid,
+    line_dedup,
+    mixing,
+    ngram_join,
     quality,
     secrets,
     sharding,
@@ -22,6 +25,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.similar_documents(_table(spark, sf_dir, "documents"), words=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet").select(
         "doc_id",
@@ -32,6 +40,34 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Target weights of the mix; sources are evened out by a power of their own shares.
+MIX = {
+    "source": 0.5,
+    "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1},
+    "topic": {"prose": 0.7, "symbols": 0.02, "shouting": 0.02},
+}
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Documents with their topic and whether the mix draws them; the draw is fixed by the id."""
+    text, doc_id = F.col("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    draw = F.conv(F.substring(F.md5(doc_id.cast("binary")), 1, 8), 16, 10).cast("double")
+    return mixing.mix(
+        docs.withColumn("topic", mixing.topic(text)),
+        MIX,
+        tokens=mixing.token_count(text),
+        draw=draw / F.lit(float(1 << 32)),
+    )
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixed(docs).select(
+        "doc_id", "source", "lang", "topic", "tokens",
+        F.round("probability", 9).alias("probability"), "sampled",
+    )
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(~langid.held_out())
@@ -86,6 +122,16 @@ def shard_manifest(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.near_duplicate_lines(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.col("n_lines").cast("bigint").alias("n_lines"),
+        F.col("n_dropped").cast("bigint").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
     base = [rule.kind for rule in secrets.BASE_RULES]
@@ -119,15 +165,86 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_mixing": op3_mixing,
         "op4_quality": op4_quality,
         "op5_langid": op5_langid,
         "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
+        "op8_line_dedup": op8_line_dedup,
         "op9_secrets": op9_secrets,
         "op10_chat": op10_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_dedup": _EXACT_SQL, "op3_mixing": _mixing_sql()}
+
+
+_EXACT_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n
+           FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = min(doc_id) OVER same AS kept, sha256(n) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY n)
+"""
+
+
+def _mixing_sql() -> str:
+    def weighted(margin: str) -> str:
+        cases = "".join(f" WHEN '{k}' THEN {float(v)}" for k, v in MIX[margin].items())
+        return f"CASE {margin}{cases} END"
+
+    steps = [
+        r"""docs AS (
+  SELECT doc_id, source, lang,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens,
+         CASE WHEN regexp_matches(text, '[$%&*#]{3}') THEN 'symbols'
+              WHEN contains(text, '!!') THEN 'shouting' WHEN contains(text, ' | ') THEN 'list'
+              WHEN regexp_matches(text, '[0-9]') THEN 'figures' ELSE 'prose' END AS topic,
+         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 AS draw
+  FROM documents)""",
+        """cells AS (
+  SELECT source, lang, topic, sum(tokens)::DOUBLE AS own,
+         sum(tokens)::DOUBLE / sum(sum(tokens)::DOUBLE) OVER () AS weight
+  FROM docs GROUP BY ALL HAVING sum(tokens) > 0)""",
+        "by_source AS (SELECT source, sqrt(sum(weight)) AS share FROM cells GROUP BY source)",
+    ]
+    for margin in ("lang", "topic"):
+        rest = 1 - sum(MIX[margin].values())
+        steps.append(
+            f"""own_{margin} AS (
+  SELECT {margin}, sum(weight) AS own, {weighted(margin)} AS given FROM cells GROUP BY {margin})"""
+        )
+        steps.append(
+            f"""by_{margin} AS (
+  SELECT {margin}, coalesce(given, greatest({rest}, 0) * own
+         / sum(CASE WHEN given IS NULL THEN own END) OVER ()) AS share FROM own_{margin})"""
+        )
+    state = "cells"
+    for number in range(mixing.ROUNDS):
+        for margin in MIX:
+            after = f"{margin}_{number}"
+            steps.append(
+                f"""{after} AS (
+  SELECT c.source, c.lang, c.topic, own, weight * (share / (SELECT sum(share) FROM by_{margin}))
+         / sum(weight) OVER (PARTITION BY c.{margin}) AS weight
+  FROM {state} AS c JOIN by_{margin} AS b ON c.{margin} IS NOT DISTINCT FROM b.{margin})"""
+            )
+            state = after
+    steps.append(
+        f"""factors AS (
+  SELECT source, lang, topic, weight / own / (SELECT max(weight / own) FROM {state}) AS p
+  FROM {state})"""
+    )
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + """
+SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(coalesce(p, 1.0), 9) AS probability,
+       draw < coalesce(p, 1.0) AS sampled
+FROM docs AS d LEFT JOIN factors AS f
+  ON d.source IS NOT DISTINCT FROM f.source AND d.lang IS NOT DISTINCT FROM f.lang
+ AND d.topic = f.topic"""
+    )
