@@ -77,9 +77,14 @@ def mix(
         for margin in margins:
             cells = cells.withColumn(
                 "_weight",
-                F.col("_weight")
-                * F.col(f"_to_{margin}")
-                / F.sum("_weight").over(Window.partitionBy(margin)),
+                # A value whose cells are all down to nothing stays there.
+                F.coalesce(
+                    F.try_divide(
+                        F.col("_weight") * F.col(f"_to_{margin}"),
+                        F.sum("_weight").over(Window.partitionBy(margin)),
+                    ),
+                    F.lit(0.0),
+                ),
             )
     factors = stored(
         cells.select(*margins, (F.col("_weight") / F.col("_own")).alias("_factor")), "factors"

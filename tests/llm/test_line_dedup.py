@@ -1,0 +1,136 @@
+"""Edit distance, candidates and kept lines against comparing all pairs."""
+
+import random
+
+import pytest
+from conftest import ODD_TEXTS
+from pyspark.sql import functions as F
+
+from tallybook.llm.line_dedup import banded_distance, near_duplicate_lines
+from tallybook.llm.queries import op8_line_dedup
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def changed(rnd, text, n, letters="abcé😀 "):
+    said = list(text)
+    for _ in range(n):
+        i = rnd.randrange(len(said))
+        kind = rnd.randrange(3)
+        if kind == 0:
+            said.insert(i, rnd.choice(letters))
+        elif kind == 1 and len(said) > 1:
+            del said[i]
+        else:
+            said[i] = rnd.choice(letters)
+    return "".join(said)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3, 6])
+def test_banded_distance(spark, edits):
+    rnd = random.Random(edits)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rnd.choices("abcé😀", k=rnd.randint(2 * edits + 2, 40)))
+        pairs.append((a, changed(rnd, a, rnd.randint(0, edits + 3))))
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    for r in frame.select("a", "b", banded_distance(F.col("a"), F.col("b"), edits).alias("d")).collect():
+        if abs(len(r.a) - len(r.b)) <= edits:
+            assert min(r.d, edits + 1) == min(distance(r.a, r.b), edits + 1), r
+
+
+def plain(rows, edits, least):
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    lines = {}
+    for i in order:
+        for at, line in enumerate(rows[i][1].split("\n") if rows[i][1] is not None else []):
+            line = line.strip(" \t\r")
+            if len(line) >= least:
+                lines.setdefault(line, []).append((i, at))
+    names = list(lines)
+    group = list(range(len(names)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for x in range(len(names)):
+        for y in range(x):
+            if abs(len(names[x]) - len(names[y])) <= edits and distance(names[x], names[y]) <= edits:
+                group[root(x)] = root(y)
+    first = {}
+    for x, name in enumerate(names):
+        for i, at in lines[name]:
+            place = (order.index(i), at)
+            first[root(x)] = min(first.get(root(x), place), place)
+    dropped = {}
+    for x, name in enumerate(names):
+        i, at = (lambda p: (order[p[0]], p[1]))(first[root(x)])
+        for j, k in lines[name]:
+            if (rows[j][0], k) != (rows[i][0], at):
+                dropped.setdefault(j, set()).add(k)
+    answer = []
+    for i, (doc_id, text) in enumerate(rows):
+        cut = dropped.get(i, set())
+        if text is None:
+            answer.append((doc_id, None, 0, 0))
+            continue
+        said = text.split("\n")
+        kept = "\n".join(x for k, x in enumerate(said) if k not in cut)
+        answer.append((doc_id, kept, len(said), len(cut)))
+    return sorted(answer, key=repr)
+
+
+def answers(frame):
+    return sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in frame.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rnd = random.Random(2)
+    bases = ["".join(rnd.choices("abcé😀 xyz", k=rnd.randint(9, 40))) for _ in range(25)]
+    bases += ["template with a long common head " + "".join(rnd.choices("abcdef", k=8)) for _ in range(10)]
+    rows = []
+    for i in range(70):
+        said = [changed(rnd, rnd.choice(bases), rnd.choice([0, 0, 1, 1, 2, 3])) for _ in range(rnd.randint(1, 6))]
+        rows.append((i, rnd.choice(["\n", "\n\n", " \n\t"]).join(said)))
+    rows += [(200 + i, t) for i, t in enumerate(ODD_TEXTS) if t is None or len(t) < 1000]
+    return rows + [(None, bases[0] + "\nnew line of no id"), (3, rows[3][1])]
+
+
+@pytest.mark.parametrize("edits, least", [(1, 10), (2, 10), (2, 24), (3, 12)])
+def test_equals_all_pairs(spark, rows, edits, least):
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, line int")
+    found = answers(near_duplicate_lines(frame.repartition(4), edits, least))
+    assert found == plain(rows, edits, least)
+    assert sum(r[3] for r in found) > 20
+
+
+def test_long_and_hot_lines(spark):
+    long = "long line " * 5000
+    rows = [(i, "the same very common line of all\n" + f"unique {i} " * 4) for i in range(400)]
+    rows += [(1000, long), (1001, long + "x"), (1002, long + "xyz" * 5)]
+    found = {r.doc_id: r for r in near_duplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[0].n_dropped == 0
+    assert sum(found[i].n_dropped >= 1 for i in range(1, 400)) == 399
+    assert [found[i].n_dropped for i in (1000, 1001, 1002)] == [0, 1, 0]
+
+
+def test_empty_table_and_bounds(spark):
+    frame = spark.createDataFrame([], "doc_id bigint, text string")
+    assert answers(near_duplicate_lines(frame)) == []
+    with pytest.raises(ValueError):
+        near_duplicate_lines(frame, 3, 7)
+
+
+def test_no_python_in_the_plan(spark):
+    plan = op8_line_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Cartesian"))

@@ -1,0 +1,88 @@
+"""Target shares, sampling, and the oracle in DuckDB."""
+
+import duckdb
+import pytest
+from conftest import ODD_TEXTS
+from pyspark.sql import functions as F
+
+import tallybook.llm.mixing as module
+from tallybook.llm import queries
+from tallybook.llm.mixing import mix, token_count, topic
+
+def draw():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+
+
+def shares(rows, column):
+    total = sum(r.tokens * r.probability for r in rows)
+    found = {}
+    for r in rows:
+        found[r[column]] = found.get(r[column], 0) + r.tokens * r.probability / total
+    return found
+
+
+@pytest.fixture(scope="module")
+def frame(spark):
+    rows = [(i, f"w{i % 3} " * (i % 50 + 1), "abc"[i // 4 % 3], ["s", "t", "u", None][i % 4]) for i in range(600)]
+    rows += [(600 + i, "x y", "a", "hot") for i in range(300)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(4)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_margins_reach_their_targets(frame, few, monkeypatch):
+    if not few:
+        monkeypatch.setattr(module, "BROADCAST_CELLS", 0)
+    targets = {"source": {"hot": 0.2, "s": 0.5, "not there": 0.1}, "lang": 0.0}
+    rows = mix(frame.withColumn("tokens", F.lit("x")), targets, token_count(F.col("text")), draw()).collect()
+    assert len(rows) == 900 and len({r.doc_id for r in rows}) == 900
+    by_lang, by_source = shares(rows, "lang"), shares(rows, "source")
+    assert all(v == pytest.approx(1 / len(by_lang), rel=1e-3) for v in by_lang.values())
+    # 0.2 is left for the sources without a weight, 0.1 is given up: all are scaled to 0.9.
+    assert by_source["hot"] == pytest.approx(0.2 / 0.9, rel=1e-3)
+    assert by_source["s"] == pytest.approx(0.5 / 0.9, rel=1e-3)
+    assert max(r.probability for r in rows) == 1.0 and None in by_source
+    assert all(r.tokens == len(r.text.split()) for r in rows)
+
+
+def test_sampling_follows_the_probabilities(frame):
+    rows = mix(frame, {"source": {"hot": 0.05}}, token_count(F.col("text")), draw()).collect()
+    expected = sum(r.probability for r in rows)
+    assert abs(sum(r.sampled for r in rows) - expected) < 4 * expected**0.5
+    assert all(r.sampled for r in rows if r.probability == 1.0)
+
+
+def test_power_keeps_or_evens(frame):
+    tokens = token_count(F.col("text"))
+    kept = mix(frame, {"lang": 1.0}, tokens, draw()).collect()
+    assert all(r.probability == pytest.approx(1.0) for r in kept)
+
+
+def test_tokens_and_topics(spark):
+    texts = [*ODD_TEXTS, "a | b", "x!! y", "a$$$", "no. 7", "plain  words \t here"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = frame.select("text", token_count(F.col("text")).alias("n"), topic(F.col("text")).alias("t")).collect()
+    for r in rows:
+        words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", r.text or "") if w]
+        assert r.n == len(words)
+    assert [r.t for r in rows[-5:]] == ["list", "shouting", "symbols", "figures", "prose"]
+
+
+def test_odd_rows(documents):
+    frame = documents(ODD_TEXTS + [(None, None, None, None, None)] * 2 + [(7, "a", None, "src9", 1)] * 2)
+    rows = mix(frame.selectExpr("*", "1 AS probability", "2 AS sampled"), {"source": 0.5, "lang": {"en": 1.0}}, token_count(F.col("text")), F.lit(0.5)).collect()
+    assert len(rows) == len(ODD_TEXTS) + 4
+    assert all(0 <= r.probability <= 1 for r in rows)
+    empty = documents([])
+    assert mix(empty, {"lang": 0.5}, token_count(F.col("text")), F.lit(0.5)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op3_mixing"])
+def test_queries_equal_their_oracles(spark, name):
+    path = "/root/testdata/sf0.001"
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS FROM '{path}/documents.parquet'")
+    result = queries.queries()[name](spark, path)
+    answer = connection.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in answer.description]
+    assert sorted(columns) == sorted(result.columns)
+    assert sorted(tuple(r) for r in result.select(columns).collect()) == sorted(answer.fetchall())

@@ -1,0 +1,134 @@
+"""Sets, components and links against comparing all pairs."""
+
+import random
+import re
+
+import pytest
+from conftest import ODD_TEXTS
+
+import tallybook.llm.ngram_join as module
+from tallybook.llm.components import connected_components
+from tallybook.llm.ngram_join import similar_documents
+from tallybook.llm.queries import op1_ngram_join
+
+
+def shingles(text, words):
+    said = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if 0 < len(said) < words:
+        return frozenset([tuple(said)])
+    return frozenset(tuple(said[i : i + words]) for i in range(len(said) - words + 1))
+
+
+def root(parent, x):
+    while parent[x] != x:
+        x = parent[x]
+    return x
+
+
+def all_pairs(rows, words, percent):
+    sets = [(doc_id, shingles(text, words)) for doc_id, text in rows]
+    parent = list(range(len(sets)))
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][1]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                parent[root(parent, i)] = root(parent, j)
+    least = {}
+    for i, (doc_id, _) in enumerate(sets):
+        least.setdefault(root(parent, i), []).append(doc_id)
+    least = {r: min((x for x in ids if x is not None), default=None) for r, ids in least.items()}
+    return sorted(
+        ((d, len(s), least[root(parent, i)]) for i, (d, s) in enumerate(sets)), key=repr
+    )
+
+
+def answers(frame):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in frame.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rnd = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+
+    def changed(said, n):
+        said = list(said)
+        for _ in range(n):
+            said[rnd.randrange(len(said))] = rnd.choice(vocabulary)
+        return said
+
+    texts = []
+    for size in (2, 3, 5, 30, 60, 120, 200):
+        for _ in range(3):
+            base = rnd.choices(vocabulary, k=size)
+            texts += [" ".join(changed(base, rnd.randint(0, 4))) for _ in range(7)]
+    passage = rnd.choices(vocabulary, k=100)
+    texts += [" ".join(passage + rnd.choices(vocabulary, k=rnd.randint(1, 30))) for _ in range(40)]
+    chain = rnd.choices(vocabulary, k=150)
+    for _ in range(15):
+        chain = changed(chain, 1)
+        texts.append(" ".join(chain).upper())
+    texts += [texts[0]] * 30 + ["w1 w1 w1 w1 w1 w1", "w1 w1 w1"]
+    rows = list(enumerate(texts)) + list(enumerate(ODD_TEXTS, 5000))
+    return rows + [(None, texts[3]), (None, None), (4, texts[4]), (4, "another text of id four")]
+
+
+@pytest.mark.parametrize("words, percent", [(3, 90), (5, 80), (1, 50), (2, 100)])
+def test_equals_all_pairs(spark, rows, words, percent):
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, n int, a int")
+    assert answers(similar_documents(frame.repartition(4), words, percent)) == all_pairs(
+        rows, words, percent
+    )
+
+
+def test_pivot_rounds_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(module, "PAIRS_PER_PLACE", 0.01)
+    rnd = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    base = rnd.choices(vocabulary, k=200)
+    rows = []
+    for i in range(150):
+        said = list(base)
+        for _ in range(rnd.randint(1, 6)):
+            said[rnd.randrange(200)] = rnd.choice(vocabulary)
+        rows.append((i, " ".join(said)))
+    rounds = []
+    real = module._pivot_pairs
+    monkeypatch.setattr(module, "_pivot_pairs", lambda *a: rounds.append(1) or real(*a))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert answers(similar_documents(frame, 3, 90)) == all_pairs(rows, 3, 90)
+    assert rounds
+
+
+def test_number_of_links(spark):
+    said = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, said), (2, said + " x"), (3, said), (4, "other words here")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.n_links for r in similar_documents(frame, 3, 90).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 0}
+
+
+def test_empty_table(spark):
+    frame = spark.createDataFrame([], "doc_id bigint, text string")
+    assert answers(similar_documents(frame, 3, 90)) == []
+
+
+def test_query(spark):
+    path = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
+    assert answers(op1_ngram_join(spark, path)) == all_pairs(rows, 3, 90)
+
+
+def test_components(spark):
+    rnd = random.Random(9)
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(50)]
+    links += [(rnd.randrange(300, 400), rnd.randrange(300, 400)) for _ in range(45)] + [(7, 7)]
+    frame = spark.createDataFrame(links * 2, "a bigint, b bigint")
+    found = {r.node: r.root for r in connected_components(frame).collect()}
+    parent = {x: x for pair in links for x in pair}
+    for a, b in links:
+        a, b = root(parent, a), root(parent, b)
+        parent[max(a, b)] = min(a, b)
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert found == {x: root(parent, x) for x in linked}
+    assert connected_components(frame.limit(0)).collect() == []
