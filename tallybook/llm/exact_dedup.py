@@ -1,18 +1,21 @@
-"""Exact duplicates, by a stream over the documents with keyed state on disk.
+"""Exact duplicates, by streams over the documents with keyed state on disk.
 
-The stream keeps one state row per digest in RocksDB and never lets it expire: the digest, the
-smallest document id seen (the stable identifier), where that document's content is (file and id)
-and the number of copies. Copies are combined within each task before they reach the state, so a
-text that a third of the documents share is no heavier than others.
+One stream reads texts and writes each document's id, digest and content locator (file and id).
+A second one keeps a state row per digest in RocksDB and never lets it expire: the digest, the
+smallest document id seen (the stable identifier), its content locator and the number of copies.
+Copies are combined within each task before they reach the state, so a text that a third of the
+documents share is no heavier than others.
 
 A digest seen twice is only a hit. All hits are read again and their bytes compared with those at
 the content locator; documents that only share a digest become groups of their own.
 """
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallybook.llm.keys import join_counted, maybe_among
 from tallybook.llm.storage import shared_path, stored
@@ -25,6 +28,8 @@ _STATE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Many small stores would set aside megabytes of disk each.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -50,25 +55,30 @@ def exact_duplicates(
     text count as copies and have the same answer. An empty table gives no rows, and columns
     other than ``doc_id`` and ``text`` are not read.
     """
-    docs = spark.read.parquet(path).select(
-        "doc_id",
-        F.col("_metadata.file_path").alias("_file"),
-        normalized(F.col("text")).alias("_text"),
-    )
-    docs = docs.withColumn("digest", digest(F.col("_text")))
-    state = _stream_state(spark, path, digest, files_per_batch)
+    path = path.rstrip("/")
+    schema = spark.read.parquet(path).select("doc_id", "text").schema
+    digests = _stream_digests(spark, path, schema, digest, files_per_batch)
+    state = _stream_state(spark, digests, files_per_batch)
+    rows = spark.read.schema(digests.schema).parquet(digests.path)
     total = state.agg(F.sum("copies")).first()[0] or 0
-    answer = join_counted(
-        docs.select("doc_id", "digest"),
-        state.select("digest", "keep_id", "copies"),
-        "digest", "copies", total,
-    )
+    answer = join_counted(rows, state, "digest", "copies", total)
 
-    repeated = state.where("copies > 1")
-    hits = join_counted(
-        maybe_among(docs, repeated, ["digest"], True), repeated, "digest", "copies", total
+    # Texts are read again only where a document may have copies.
+    repeated = stored(answer.where("copies > 1"), "repeated")
+    texts = spark.read.schema(schema).parquet(path).select(
+        F.col("doc_id").alias("_id"), F.col("_metadata.file_path").alias("_path"), "text"
     )
-    hits = stored(hits, "hits")
+    near = maybe_among(texts, repeated.select(F.col("doc_id").alias("_id")), ["_id"], True)
+    hits = stored(
+        repeated.distinct().join(
+            near.select("_id", "_path", normalized(F.col("text")).alias("_text")),
+            F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("file") == F.col("_path")),
+        ).drop("_id", "_path"),
+        "hits",
+    ).where(digest(F.col("_text")) == F.col("digest"))
+    if hits.count() != repeated.count():
+        raise RuntimeError(f"documents changed while they were read: {path}")
+    answer = answer.select("doc_id", "digest", "keep_id", "copies")
     unequal = _unequal(hits)
     if unequal.isEmpty():
         return answer
@@ -83,24 +93,55 @@ def exact_duplicates(
     )
 
 
-def _stream_state(
-    spark: SparkSession, path: str, digest: Callable[[Column], Column], files_per_batch: int
-) -> DataFrame:
-    """Run the stream over all files there are; the state rows it ends with."""
-    path = path.rstrip("/")
-    text = normalized(F.col("text"))
-    schema = spark.read.parquet(path).select("doc_id", "text").schema
+@dataclass
+class _Written:
+    path: str
+    schema: StructType
+
+
+def _stream_digests(
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    digest: Callable[[Column], Column],
+    files_per_batch: int,
+) -> _Written:
+    """Id, digest and locator of each document, written file by file."""
     rows = (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_batch)
         # A stream takes a folder or a pattern; this pattern is the path itself, folder or file.
         .parquet(f"{path[:-1]}[{path[-1]}]")
-        .select("doc_id", F.col("_metadata.file_path").alias("_file"), digest(text).alias("digest"))
+        .select(
+            "doc_id",
+            digest(normalized(F.col("text"))).alias("digest"),
+            F.col("_metadata.file_path").alias("file"),
+        )
+    )
+    written = _Written(shared_path(spark, "digests"), rows.schema)
+    query = (
+        rows.writeStream.format("parquet")
+        .option("path", written.path)
+        .option("checkpointLocation", shared_path(spark, "digests-log"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    spark.createDataFrame([], rows.schema).write.mode("append").parquet(written.path)
+    return written
+
+
+def _stream_state(spark: SparkSession, digests: _Written, files_per_batch: int) -> DataFrame:
+    """The state after all digests there are: ``digest, keep_id, keep_file, copies``."""
+    rows = (
+        spark.readStream.schema(digests.schema)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(digests.path)
     )
     state = rows.groupBy("digest").agg(
         F.min("doc_id").alias("keep_id"),
         # Null ids last, here as in the minimum.
-        F.min_by("_file", F.struct(F.col("doc_id").isNull(), "doc_id", "_file")).alias("keep_file"),
+        F.min_by("file", F.struct(F.col("doc_id").isNull(), "doc_id", "file")).alias("keep_file"),
         F.count("*").alias("copies"),
     )
     updates = shared_path(spark, "state-updates")
@@ -146,7 +187,7 @@ def _unequal(hits: DataFrame) -> DataFrame:
     Large groups are salted: each salt gets the text to compare with, and a few hundred copies.
     """
     salts = F.ceil(F.col("copies") / COPIES_PER_SALT).cast("int")
-    is_kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_file") == F.col("keep_file"))
+    is_kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("file") == F.col("keep_file"))
     kept = (
         hits.where(is_kept)
         .groupBy("digest", "copies")
@@ -154,6 +195,6 @@ def _unequal(hits: DataFrame) -> DataFrame:
         .select("digest", "_kept", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
     )
     salted = hits.select(
-        "digest", "_text", F.pmod(F.xxhash64("doc_id", "_file"), salts).cast("int").alias("_salt")
+        "digest", "_text", F.pmod(F.xxhash64("doc_id", "file"), salts).cast("int").alias("_salt")
     )
     return salted.join(kept, ["digest", "_salt"]).where("_text <> _kept")
