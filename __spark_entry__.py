@@ -16,17 +16,12 @@ from pyspark.sql import functions as F
 from tallybook.functions import dates
 from tallybook.functions.money import money_as_double, round_to_one_digit
 from tallybook.operators import balances, dimensions, totals, views
+from tallybook.operators.condense import condense
 from tallybook.operators.selection import select_category, select_transactions
 from tallybook.plans import reports
 from tallybook.schema import ALL, EXPENSE, INCOME, LEDGER_COLUMNS, MONTH_CODES
 from tallybook.sources.exports import union_all
-from tallybook.sources.orders import (
-    ORDER_KEYS,
-    order_ledger,
-    post,
-    read_customers,
-    read_orders,
-)
+from tallybook.sources.orders import between, order_ledger, post, read_customers, read_orders
 from tallybook.sources.sql import fetch, register
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +46,7 @@ def _ledger_rows(ledger: DataFrame) -> DataFrame:
 
 def _selected(**selectors: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ledger = order_ledger(spark, sf_dir, YEAR)
+        ledger = order_ledger(spark, sf_dir, YEAR, selectors.get("month"))
         return _ledger_rows(select_transactions(ledger, year=YEAR, **selectors))
 
     return query
@@ -59,15 +54,15 @@ def _selected(**selectors: str) -> Query:
 
 def _ledger_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_orders(spark, sf_dir)
-    status = F.col("o_orderstatus")
-    expense, income = status == "F", status == "O"
-    transfer = status.isNull() | ~status.isin("F", "O")
-    parts = [orders.where(part) for part in (expense, income, transfer)]
-    return _ledger_rows(post(union_all(*parts), read_customers(spark, sf_dir)))
+    # Ranges of days that together are all rows: each part reads its own days only.
+    parts = [between(None, "1997-01-01"), between("1997-01-01", "1999-01-01"),
+             between("1999-01-01", None), "o_orderdate IS NULL"]
+    union = union_all(*[orders.where(part) for part in parts])
+    return _ledger_rows(post(union, read_customers(spark, sf_dir)))
 
 
 def _ledger_sql_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(order_ledger(spark, sf_dir))
+    register(order_ledger(spark, sf_dir, YEAR))
     rows = fetch(
         spark,
         "SELECT * FROM ledger"
@@ -133,7 +128,7 @@ def _by_category(flow: str) -> Query:
 
 def _category_bar(flow: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ledger = order_ledger(spark, sf_dir, YEAR)
+        ledger = order_ledger(spark, sf_dir, YEAR, MONTH)
         return reports.flow_breakdown(ledger, flow, year=YEAR, month=MONTH)
 
     return query
@@ -146,17 +141,17 @@ def _short_year(spark: SparkSession, sf_dir: str, **selectors: str) -> DataFrame
 
 def _month_end_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     selection = _short_year(spark, sf_dir, account=ACCOUNT)
-    return money_as_double(balances.month_end_balance(selection, ORDER_KEYS))
+    return money_as_double(balances.month_end_balance(selection))
 
 
 def _flow_month_end_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     selection = _short_year(spark, sf_dir, account=ACCOUNT, flow=EXPENSE)
-    return money_as_double(balances.month_end_balance(selection, ORDER_KEYS))
+    return money_as_double(balances.month_end_balance(selection))
 
 
 def _account_month_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return money_as_double(
-        balances.account_month_balance(_short_year(spark, sf_dir), ORDER_KEYS)
+        balances.account_month_balance(_short_year(spark, sf_dir))
     )
 
 
@@ -165,7 +160,7 @@ def _account_month_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _net_worth_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return money_as_double(balances.net_worth_monthly(_short_year(spark, sf_dir), ORDER_KEYS))
+    return money_as_double(balances.net_worth_monthly(_short_year(spark, sf_dir)))
 
 
 def _category_month(flow: str) -> Query:
@@ -191,9 +186,25 @@ def _category_year_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _report_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = order_ledger(spark, sf_dir, SHORT_YEAR)
-    return reports.history(
-        ledger, category=CATEGORY, year=SHORT_YEAR, order=ORDER_KEYS
-    )
+    return reports.history(ledger, category=CATEGORY, year=SHORT_YEAR)
+
+
+def _report_history_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = order_ledger(spark, sf_dir, SHORT_YEAR)
+    return reports.history(ledger, ACCOUNT, CATEGORY, SHORT_YEAR)
+
+
+def _report_history_condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    months = condense(order_ledger(spark, sf_dir, SHORT_YEAR))
+    return reports.history(months, category=CATEGORY, year=SHORT_YEAR)
+
+
+def _report_breakdown(**selectors: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ledger = order_ledger(spark, sf_dir, SHORT_YEAR)
+        return reports.flow_breakdown(ledger, EXPENSE, year=SHORT_YEAR, **selectors)
+
+    return query
 
 
 def _report_category_seasonality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +229,7 @@ def _view_sorted_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = order_ledger(spark, sf_dir, YEAR)
+    ledger = order_ledger(spark, sf_dir, YEAR, MONTH)
     return views.records(views.transactions(ledger, ACCOUNT, ALL, YEAR, MONTH))
 
 
@@ -291,6 +302,10 @@ def ledger_queries() -> dict[str, Query]:
         "category_monthly_mean": _category_monthly_mean,
         "category_year_totals": _category_year_totals,
         "report_history": _report_history,
+        "report_history_account": _report_history_account,
+        "report_history_condensed": _report_history_condensed,
+        "report_breakdown_year": _report_breakdown(),
+        "report_breakdown_account": _report_breakdown(account=ACCOUNT),
         "report_category_seasonality": _report_category_seasonality,
         "view_transactions": _view(views.transactions),
         "view_expenses": _view(views.expenses),
@@ -447,6 +462,54 @@ _YEAR_SUMS = (
     f" sums AS (SELECT {_Y} AS Year, sum(Amount) AS s FROM ledger"
     f" WHERE {_OF_CATEGORY} GROUP BY 1)"
 )
+# The reports over one year of orders, from the tables themselves: the last row of a month by its
+# rank, months without rows by a list of all twelve.
+_TWELVE = "(SELECT unnest(range(1, 13)) AS n) AS twelve"
+
+
+def _closing_sql(condition: str) -> str:
+    return f"""
+SELECT 'End Of Month Balance' AS Series, lpad(twelve.n::VARCHAR, 2, '0') AS Month,
+       coalesce(last.c_acctbal, 0.0) AS Value
+FROM {_TWELVE} LEFT JOIN (
+  SELECT month(o_orderdate) AS n, c_acctbal FROM orders, customer
+  WHERE c_custkey = o_custkey AND year(o_orderdate) = {SHORT_YEAR} AND {condition}
+  QUALIFY row_number() OVER (PARTITION BY month(o_orderdate)
+                             ORDER BY o_orderdate::DATE DESC, o_orderkey DESC) = 1
+) AS last ON last.n = twelve.n"""
+
+
+_BREAKDOWN_YEAR = f"""
+SELECT o_orderpriority AS Series, lpad(twelve.n::VARCHAR, 2, '0') AS Month,
+       -coalesce(sum(o_totalprice::DECIMAL(18,2)) FILTER (month(o_orderdate) = twelve.n), 0)::DOUBLE
+         + 0.0 AS Value
+FROM {_TWELVE}, orders, customer
+WHERE c_custkey = o_custkey AND o_orderstatus = 'F' AND year(o_orderdate) = {SHORT_YEAR}
+GROUP BY ALL"""
+_HISTORY_CONDENSED = f"""
+WITH used AS (
+  SELECT c_mktsegment AS account, month(o_orderdate) AS n, o_orderpriority AS category,
+         CASE o_orderstatus WHEN 'F' THEN -o_totalprice WHEN 'O' THEN o_totalprice END
+           ::DECIMAL(18,2) AS flow,
+         o_orderstatus AS status, c_acctbal::DECIMAL(18,2) AS balance,
+         row_number() OVER (PARTITION BY c_mktsegment, month(o_orderdate), o_orderpriority
+                            ORDER BY o_orderdate::DATE DESC, o_orderkey DESC) AS back
+  FROM orders, customer WHERE c_custkey = o_custkey AND year(o_orderdate) = {SHORT_YEAR}),
+filled AS (
+  SELECT account, twelve.n AS n,
+         coalesce(sum(balance) FILTER (back = 1 AND used.n = twelve.n AND category = '{CATEGORY}'), 0)
+           AS closing,
+         coalesce(sum(flow) FILTER (status = 'F' AND used.n = twelve.n AND category = '{CATEGORY}'), 0)
+           AS spent,
+         coalesce(sum(flow) FILTER (status = 'O' AND used.n = twelve.n AND category = '{CATEGORY}'), 0)
+           AS earned
+  FROM used, {_TWELVE} GROUP BY ALL),
+listed AS (
+  SELECT account AS Series, n, closing AS v FROM filled UNION ALL
+  SELECT unnest(['Net Worth', 'Expenses', 'Income', 'Monthly Savings']), n,
+         unnest([sum(closing), sum(spent), sum(earned), sum(spent + earned)])
+  FROM filled GROUP BY n)
+SELECT Series, lpad(n::VARCHAR, 2, '0') AS Month, v::DOUBLE AS Value FROM listed"""
 _JSON = (
     """concat('{"Month":"', split_part("Date", '/', 1), '","Day":"', split_part("Date", '/', 2),"""
     """ '","Year":"', split_part("Date", '/', 3), '","Account":"', Account, '","Title":"', Title,"""
@@ -533,6 +596,14 @@ def ledger_oracle_sql() -> dict[str, str]:
         "report_history": _sql(
             "SELECT Series, Month, CAST(v AS DOUBLE) AS Value FROM series", _HISTORY
         ),
+        "report_history_account": _closing_sql(
+            f"c_mktsegment = '{ACCOUNT}' AND o_orderpriority = '{CATEGORY}'"
+        ),
+        "report_history_condensed": _HISTORY_CONDENSED,
+        "report_breakdown_year": _BREAKDOWN_YEAR,
+        "report_breakdown_account": _closing_sql(
+            f"c_mktsegment = '{ACCOUNT}' AND o_orderstatus = 'F'"
+        ),
         "report_category_seasonality": _sql(
             "SELECT Year AS Series, Month, round(CAST(s AS DOUBLE), 2) AS Value FROM grid"
             " UNION ALL SELECT 'Monthly Avg', Month,"

@@ -52,10 +52,19 @@ def month_label(code: Column) -> Column:
 
 
 def normalized_date(date: Column) -> Column:
-    """Pad month and day to two digits."""
-    return F.concat_ws(
+    """Pad month and day to two digits.
+
+    A blank date stays as it is; any other text that is not one or two digits, one or two digits
+    and four digits, as a year of two digits, is an error.
+    """
+    padded = F.concat_ws(
         "/", F.lpad(split_month(date), 2, "0"), F.lpad(split_day(date), 2, "0"), split_year(date)
     )
+    return (
+        F.when(date.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), padded)
+        .when(date.isNull() | (F.trim(date) == ""), date)
+        .otherwise(F.raise_error(F.concat(F.lit("not a date month/day/year: "), date)))
+    )
 
 
 def ledger_date(date: Column) -> Column:

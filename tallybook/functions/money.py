@@ -2,16 +2,26 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DecimalType
+from pyspark.sql.types import DecimalType
 
 from tallybook.schema import MONEY
 
 
-def parse_money(text: Column, money: DataType = MONEY) -> Column:
-    """Text to decimal: blank is missing, any other text that is not a number is an error."""
-    number = F.trim(text).try_cast(money)
-    return F.when(number.isNotNull() | text.isNull() | (F.trim(text) == ""), number).otherwise(
-        F.raise_error(F.concat(F.lit("not an amount: "), text))
+def parse_money(text: Column, money: DecimalType = MONEY) -> Column:
+    """Text to decimal: blank is missing, and any other text that is no number, or a number that
+    the type cannot hold exactly, is an error."""
+    trimmed = F.trim(text)
+    number = trimmed.try_cast(money)
+    # The cast rounds. Digits behind the scale must be zeros; a number with an exponent must be
+    # the same in wider types.
+    cut = rf"^[^eE]*\.\d{{{money.scale}}}\d*[1-9][^eE]*$"
+    same = (number == trimmed.try_cast("decimal(38,18)")) & (
+        number.cast("double") == trimmed.try_cast("double")
+    )
+    exact = F.when(trimmed.rlike("[eE]"), same).otherwise(~trimmed.rlike(cut))
+    fits = number.isNotNull() & exact
+    return F.when(fits | text.isNull() | (trimmed == ""), number).otherwise(
+        F.raise_error(F.concat(F.lit(f"no amount of type {money.simpleString()}: "), text))
     )
 
 

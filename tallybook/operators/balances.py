@@ -12,9 +12,9 @@ from tallybook.schema import (
     EXPENSES,
     INCOME,
     INCOMES,
-    INGEST_ORDER,
     MONTHLY_SAVINGS,
     NET_WORTH,
+    POSITION,
 )
 
 Order = str | Sequence[str]
@@ -24,7 +24,8 @@ def month_end_balance(selection: DataFrame, order: Order = "ingest") -> DataFram
     """Balance on the last row of each month, over the selection as a whole.
 
     ``order`` decides which row is last: ``ingest`` is the order of the export's lines, ``date``
-    puts the posting date first, and a list of columns sorts by those (unique together).
+    puts the posting date first, and a list of columns sorts by those (unique together). One or
+    two plain columns need no sort.
     """
     return _monthly(_closing(selection, [], order), [], ["EndBalance"])
 
@@ -95,9 +96,9 @@ def _closing(
 ) -> DataFrame:
     """Last balance, and sums, per key and month; NULL where nothing is kept.
 
-    Two steps: the last row within each day (or block of a file), then the last of those. Each
-    step compares one plain column, which hash aggregation can update in place; one ``max_by``
-    over a struct of all order columns would sort the whole input by group instead.
+    The position is one plain column, which hash aggregation can update in place. With more order
+    columns there are two steps: the last row within each day, then the last of those. One
+    ``max_by`` over a struct of all columns would sort the whole input by group instead.
     """
     *outer, inner = _order_columns(order)
     steps = [f"_step{i}" for i in range(len(outer))]
@@ -113,6 +114,8 @@ def _closing(
             *[F.sum(amount).alias(name) for name, amount in sums.items()],
         )
     )
+    if not steps:
+        return within
     latest = F.col(steps[0]) if len(steps) == 1 else F.struct(*steps)
     closed = F.col("EndBalance").isNotNull()
     return within.groupBy(*keys, MONTH_KEY).agg(
@@ -123,11 +126,11 @@ def _closing(
 
 def _order_columns(order: Order) -> list[Column]:
     if order == "ingest":
-        return [F.col(c) for c in INGEST_ORDER]
+        return [F.col(POSITION)]
     if order == "date":
         # A text that is no date comes first, as it has no place of its own.
         day = F.coalesce(F.col("LedgerDate"), F.lit("0001-01-01").cast("date"))
-        return [day] + [F.col(c) for c in INGEST_ORDER]
-    if isinstance(order, str) or len(order) < 2:
-        raise ValueError(f"order is 'ingest', 'date' or at least two columns: {order!r}")
+        return [day, F.col(POSITION)]
+    if isinstance(order, str) or not order:
+        raise ValueError(f"order is 'ingest', 'date' or some columns: {order!r}")
     return [F.col(c) for c in order]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from tallybook.functions.dates import split_month, split_year
-from tallybook.schema import INGEST_ORDER, MONEY_COLUMNS, table_schema
+from tallybook.schema import MONEY_COLUMNS, POSITION, table_schema
 
 _KEYS = ("Year", "Month", "_m", "_y", "Account", "MainCategory", "Subcategory")
 
@@ -18,36 +18,26 @@ def condense(ledger: DataFrame) -> DataFrame:
     do not, and neither does ``order="date"``. Written once with ``write_table``, it spares the
     reports from reading the postings again each time.
     """
-    file, block, row = INGEST_ORDER
     money = ledger.schema["Amount"].dataType
     # What a sum of such amounts fits in.
     wide = DecimalType(min(money.precision + 10, 38), money.scale)
     date = F.col("Date")
-    counted = F.when(F.col("Balance").isNotNull(), F.col(row))
-    within = (
+    counted = F.when(F.col("Balance").isNotNull(), F.col(POSITION))
+    groups = (
         ledger.withColumns({"_m": split_month(date), "_y": split_year(date)})
-        .groupBy(*_KEYS, file, block)
+        .groupBy(*_KEYS)
         .agg(
             F.max_by("Balance", counted).alias("Balance"),
-            F.max(counted).alias(row),
+            F.max(counted).alias(POSITION),
             F.sum("Amount").alias("Amount"),
         )
     )
-    latest = F.when(F.col(row).isNotNull(), F.struct(file, block))
-    groups = within.groupBy(*_KEYS).agg(
-        F.max_by("Balance", latest).alias("Balance"),
-        F.max_by(row, latest).alias(row),
-        F.max(latest).alias("_latest"),
-        F.sum("Amount").alias("Amount"),
-    )
     return groups.withColumns(
         {
             "Date": F.concat_ws("/", "_m", F.lit("01"), "_y"),
             "Title": F.lit(""),
             "Comment": F.lit(""),
             "LedgerDate": F.lit(None).cast("date"),
-            file: F.col(f"_latest.{file}"),
-            block: F.col(f"_latest.{block}"),
             **{c: F.col(c).cast(wide) for c in MONEY_COLUMNS},
         }
     ).select(table_schema().names)

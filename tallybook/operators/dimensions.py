@@ -32,9 +32,13 @@ def month_options(ledger: DataFrame) -> DataFrame:
 
 
 def months_in_use(ledger: DataFrame) -> DataFrame:
-    """The choices a ledger can answer: ``All`` and the months it has postings in."""
+    """The choices a ledger can answer: ``All`` and the months it has postings in.
+
+    A month text that is no code, as an unpadded date has it, is its own label.
+    """
     codes = append_row(ledger.select(F.col("Month").alias("code")).distinct(), code=F.lit("00"))
-    return codes.select(month_label(F.col("code")).alias("label"), "code")
+    label = F.coalesce(month_label(F.col("code")), F.col("code"))
+    return codes.select(label.alias("label"), "code")
 
 
 def append_row(frame: DataFrame, **values: Column) -> DataFrame:

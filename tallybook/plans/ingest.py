@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DecimalType
 
+from tallybook.functions.positions import batches_of
 from tallybook.schema import MONEY
 from tallybook.sources.exports import read_exports, typed_ledger
 from tallybook.sources.tables import read_table, write_table
@@ -17,7 +18,18 @@ def ingest(
     normalize_dates: bool = False,
     money: DecimalType = MONEY,
 ) -> DataFrame:
-    """Combine all exports of a folder into the ledger table and return that table."""
-    raw = read_exports(spark, folder, multi_line)
+    """Combine all exports of a folder into the ledger table and return that table.
+
+    Appended lines come after those the table has. One ingest into a table runs at a time.
+    """
+    batch = 0
+    if mode == "append" and _exists(spark, table):
+        batch = batches_of(read_table(spark, table, money))
+    raw = read_exports(spark, folder, multi_line, batch)
     write_table(typed_ledger(raw, normalize_dates, money), table, mode)
     return read_table(spark, table, money)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -57,8 +57,8 @@ MONTHLY_SAVINGS = "Monthly Savings"
 MONTHLY_AVERAGE = "Monthly Avg"
 MEAN_OF_YEARS = "Mean of All Years"
 
-# Position of a row in its source: file, block of the file, line within the task that read it.
-INGEST_ORDER = ("_file", "_block", "_row")
+# Position of a row among all ingested lines, see functions.positions.
+POSITION = "_position"
 
 MONEY = DecimalType(18, 2)
 
@@ -66,7 +66,12 @@ RAW_SCHEMA = StructType([StructField(c, StringType()) for c in LEDGER_COLUMNS])
 
 
 def table_schema(money: DecimalType = MONEY) -> StructType:
-    """Schema of the stored ledger; ``Year`` is the partition column and stays text."""
+    """Schema of the stored ledger; ``Year`` is the partition column and stays text.
+
+    Money has four decimals at most: means are exact up to there.
+    """
+    if money.scale > 4:
+        raise ValueError(f"money of more than four decimals: {money.simpleString()}")
     columns = [
         StructField(c, money if c in MONEY_COLUMNS else StringType()) for c in LEDGER_COLUMNS
     ]
@@ -75,9 +80,7 @@ def table_schema(money: DecimalType = MONEY) -> StructType:
         + [
             StructField("Month", StringType()),
             StructField("LedgerDate", DateType()),
-            StructField("_file", StringType()),
-            StructField("_block", LongType()),
-            StructField("_row", LongType()),
+            StructField(POSITION, LongType()),
             StructField("Year", StringType()),
         ]
     )

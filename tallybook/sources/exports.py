@@ -1,36 +1,43 @@
 """Reading CSV exports into the ledger."""
 
-import posixpath
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+from pyspark.sql.types import DecimalType, LongType, StructField, StructType
 
 from tallybook.functions import dates
 from tallybook.functions.money import parse_money
+from tallybook.functions.positions import FILE_BITS, after, batches_of, in_batches, position
 from tallybook.schema import (
-    INGEST_ORDER,
     LEDGER_COLUMNS,
     MONEY,
     MONEY_COLUMNS,
+    POSITION,
     RAW_SCHEMA,
     TEXT_COLUMNS,
+    table_schema,
 )
 
-# Scheme and host are optional: a plain path and the full URI Spark reports have the same depth.
-_PATH_OF_URI = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/]*)?(/.*)$"
+# What Spark writes beside data, and what its readers pass over.
+_CHECKSUM = re.compile(r"^\..*\.crc$")
+_PASSED_OVER = re.compile(r"^_(?!metadata|common_metadata)[^=]*$|^\.|\._COPYING_$")
 
-
-def read_exports(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
+def read_exports(
+    spark: SparkSession, folder: str, multi_line: bool = False, batch: int = 0
+) -> DataFrame:
     """All plain files of one folder as text rows, the eight columns bound by position.
 
-    Files of sub-folders are left out, whatever the sub-folder is called. A line that does not
-    have eight fields fails the job. Set ``multi_line`` for exports with line breaks inside
-    quotes; such files are not split.
+    Files of sub-folders are left out, whatever the sub-folder is called, and not listed either.
+    A file whose name Spark would pass over is an error; only Spark's own markers may lie there.
+    A line that does not have eight fields fails the job. Set ``multi_line`` for exports with line
+    breaks inside quotes; such files are not split. ``batch`` is the number of the ingest.
     """
-    depth = _folder_depth(folder) + 1
+    files = plain_files(spark, folder)
+    if not files:
+        empty = StructType([*RAW_SCHEMA.fields, StructField(POSITION, LongType())])
+        return spark.createDataFrame([], empty).na.fill("")
     rows = (
         spark.read.schema(RAW_SCHEMA)
         .option("header", True)
@@ -39,24 +46,54 @@ def read_exports(spark: SparkSession, folder: str, multi_line: bool = False) ->
         .option("columnPruning", False)
         .option("escape", '"')
         .option("multiLine", multi_line)
-        # Looking recursively turns partition discovery off, which would otherwise drop the
-        # plain files next to a folder called a=b. The filter skips the deeper files unread.
+        # Keeps folders called a=b from becoming columns.
         .option("recursiveFileLookup", True)
-        .csv(folder)
-        .where(_depth(F.col("_metadata.file_path")) == depth)
+        .csv([_literal(file) for file in files])
     )
-    return _with_ingest_order(rows)
+    return _positioned(rows, files, batch)
 
 
-def read_combined(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """A combined CSV as text rows, columns chosen by header name, other columns ignored."""
+def read_combined(
+    spark: SparkSession, path: str, multi_line: bool = False, batch: int = 0
+) -> DataFrame:
+    """A combined CSV as text rows, columns chosen by header name, other columns ignored.
+
+    The path is a file or a folder of files; files whose headers differ are an error.
+    """
+    files = plain_files(spark, path)
+    if not files:
+        raise ValueError(f"no file to read: {path}")
     rows = (
         spark.read.option("header", True)
+        # Every file's header is held against that of the first one, as a whole.
+        .option("enforceSchema", False)
+        .option("columnPruning", False)
         .option("escape", '"')
         .option("multiLine", multi_line)
-        .csv(path)
+        .option("recursiveFileLookup", True)
+        .csv([_literal(file) for file in files])
     )
-    return _with_ingest_order(rows)
+    return _positioned(rows, files, batch)
+
+
+def plain_files(spark: SparkSession, path: str) -> list[str]:
+    """The plain files of one folder, sorted by name, or the one file the path names.
+
+    Looks one level deep. Spark passes over hidden files without a word; here they are an error.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = {}
+    entries = system.listStatusIterator(place)
+    while entries.hasNext():
+        entry = entries.next()
+        name = entry.getPath().getName()
+        if not entry.isFile() or name == "_SUCCESS" or _CHECKSUM.search(name):
+            continue
+        if _PASSED_OVER.search(name):
+            raise ValueError(f"Spark would not read the file because of its name: {name}")
+        files[name] = entry.getPath().toString()
+    return [files[name] for name in sorted(files)]
 
 
 def with_period(raw: DataFrame, normalize_dates: bool = False) -> DataFrame:
@@ -71,6 +108,7 @@ def typed_ledger(
     raw: DataFrame, normalize_dates: bool = False, money: DecimalType = MONEY
 ) -> DataFrame:
     """Text rows to the typed ledger."""
+    table_schema(money)  # raises for money that the reports could not average exactly
     return with_period(raw, normalize_dates).withColumns(
         {
             "LedgerDate": dates.ledger_date(F.col("Date")),
@@ -81,34 +119,49 @@ def typed_ledger(
 
 def union_all(*ledgers: DataFrame) -> DataFrame:
     """Bag union of ledgers by column name, the lines of each after those of the one before."""
-    file = INGEST_ORDER[0]
-    numbered = [
-        ledger.withColumn(file, F.concat(F.lit(f"{number:06d}/"), file))
-        if file in ledger.columns
-        else ledger
-        for number, ledger in enumerate(ledgers)
-    ]
-    return reduce(DataFrame.unionByName, numbered)
-
-
-def _with_ingest_order(rows: DataFrame) -> DataFrame:
-    file, block, row = INGEST_ORDER
-    return rows.select(
+    moved, before = [], 0
+    for ledger in ledgers:
+        if POSITION in ledger.columns:
+            batches = batches_of(ledger)
+            place = after(F.col(POSITION), before)
+            ledger = ledger.withColumn(POSITION, in_batches(place, before + batches))
+            before += batches
+        moved.append(ledger)
+    union = reduce(DataFrame.unionByName, moved)
+    if POSITION not in union.columns:
+        return union
+    return union.withColumn(POSITION, in_batches(F.col(POSITION), before))
+
+
+def _positioned(rows: DataFrame, files: list[str], batch: int) -> DataFrame:
+    """Add the position: batch, number of the file by name, place of the line in the file.
+
+    The place is the start of the block that a task reads, plus the number of the row within the
+    task. No block has more lines than bytes, and a block that is not the first of its task is the
+    last of its file, so places grow along the file and stay apart.
+    """
+    if len(files) > 1 << FILE_BITS:
+        raise ValueError(f"a batch takes {1 << FILE_BITS} files, these are {len(files)}")
+    spark = rows.sparkSession
+    # Spark tells names as they are in a URI.
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(file).toUri().getRawPath() for file in files]
+    names = spark.createDataFrame(
+        [(path.rpartition("/")[2], number) for number, path in enumerate(paths)],
+        "_name string, _number bigint",
+    )
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = rows.select(
         *LEDGER_COLUMNS,
-        F.col("_metadata.file_name").alias(file),
-        F.col("_metadata.file_block_start").alias(block),
-        F.monotonically_increasing_id().alias(row),
+        F.col("_metadata.file_name").alias("_name"),
+        (F.col("_metadata.file_block_start") + in_task).alias("_line"),
     ).na.fill("", list(TEXT_COLUMNS))
+    place = position(batch, F.col("_number"), F.col("_line"))
+    # At most 2 ** FILE_BITS names; a file that is not among them has no position and raises.
+    return numbered.join(F.broadcast(names), "_name", "left").select(
+        *LEDGER_COLUMNS, in_batches(place, batch + 1)
+    )
 
 
-def _depth(uri: Column) -> Column:
-    path = F.regexp_extract(uri, _PATH_OF_URI, 1)
-    return F.size(F.split(path, "/")) - F.lit(1)
-
-
-def _folder_depth(folder: str) -> int:
-    """How many steps the folder lies below the root of its file system."""
-    match = re.match(_PATH_OF_URI, folder)
-    if match is None:
-        raise ValueError(f"give the folder as an absolute path or URI: {folder}")
-    return len([step for step in posixpath.normpath(match[1]).split("/") if step])
+def _literal(path: str) -> str:
+    """The path as a pattern that matches nothing but itself."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)

@@ -1,9 +1,11 @@
 """A ledger made from the order tables: one posting per order, the customer's segment as account."""
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.schema import EXPENSE, INCOME
+from tallybook.schema import EXPENSE, INCOME, POSITION
 from tallybook.sources.exports import with_period
 
 # The columns that are read, so that no file has to be opened to find them out.
@@ -11,8 +13,9 @@ ORDERS = """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalpr
     o_orderdate timestamp_ntz, o_orderpriority string"""
 CUSTOMERS = "c_custkey bigint, c_acctbal double, c_mktsegment string"
 
-# Rows of this ledger have no file position; the order date and key take its place.
-ORDER_KEYS = ("_d", "_k")
+# Rows of this ledger have no file position; the day and the key of the order make one.
+_KEY_BITS = 43
+_FIRST_DAY, _LAST_DAY = "0001-01-01", "2800-01-01"  # days that fit above the key
 
 _POSTING = (
     "concat(substring(_iso, 6, 2), '/', substring(_iso, 9, 2), '/', substring(_iso, 1, 4)) AS Date",
@@ -26,27 +29,38 @@ _POSTING = (
         AS DECIMAL(18,2)) AS Amount""",
     "CAST(c_acctbal AS DECIMAL(18,2)) AS Balance",
     "_d AS LedgerDate",
-    "_d",
-    "o_orderkey AS _k",
+    f"""CASE WHEN _d BETWEEN DATE'{_FIRST_DAY}' AND DATE'{_LAST_DAY}'
+          AND o_orderkey BETWEEN 0 AND {(1 << _KEY_BITS) - 1}
+        THEN shiftleft(CAST(datediff(_d, DATE'{_FIRST_DAY}') AS BIGINT), {_KEY_BITS}) + o_orderkey
+        WHEN _d IS NULL OR o_orderkey IS NULL THEN NULL
+        ELSE raise_error('no place for this day and order') END AS {POSITION}""",
 )
 
 
-def order_ledger(spark: SparkSession, directory: str, year: str | None = None) -> DataFrame:
-    """Typed ledger over the order tables of a directory, of all years or of one.
+def order_ledger(
+    spark: SparkSession, directory: str, year: str | None = None, month: str | None = None
+) -> DataFrame:
+    """Typed ledger over the order tables of a directory, of all years, of one or of its month.
 
-    A given year becomes a range over the order date, which reaches the parquet scan; the text
-    comparison of the selectors cannot.
+    A given year or month becomes a range over the order date, which reaches the parquet scan;
+    the text comparison of the selectors cannot.
     """
     orders = read_orders(spark, directory)
     if year is not None:
-        first, after = int(year), int(year) + 1
-        orders = orders.where(
-            f"o_orderdate >= TIMESTAMP_NTZ'{first:04d}-01-01'"
-            f" AND o_orderdate < TIMESTAMP_NTZ'{after:04d}-01-01'"
-        )
+        first = date(int(year), int(month or 1), 1)
+        months = 12 if month is None else 1
+        beyond = date(first.year + (first.month + months - 1) // 12, (first.month + months - 1) % 12 + 1, 1)
+        orders = orders.where(between(first.isoformat(), beyond.isoformat()))
     return post(orders, read_customers(spark, directory))
 
 
+def between(first: str | None, after: str | None) -> str:
+    """A condition on the order date: from a day on, before another; open where one is missing."""
+    ends = [f"o_orderdate >= TIMESTAMP_NTZ'{first}'"] if first else []
+    ends += [f"o_orderdate < TIMESTAMP_NTZ'{after}'"] if after else []
+    return " AND ".join(ends)
+
+
 def read_orders(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.schema(ORDERS).parquet(f"{directory}/orders.parquet")
 

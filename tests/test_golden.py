@@ -154,7 +154,7 @@ def test_month_end_of_one_selection(ledger):
 
 
 def test_bad_order_is_refused(ledger):
-    for order in ("newest", ["_row"]):
+    for order in ("newest", []):
         with pytest.raises(ValueError):
             balances.month_end_balance(ledger, order)
 

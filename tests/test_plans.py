@@ -37,7 +37,7 @@ def test_no_query_leaves_the_jvm_or_pairs_rows(spark, name):
     ):
         assert operator not in text, operator
     scans = len(re.findall(r"FileScan parquet .*orders\.parquet", text))
-    assert scans == (3 if name == "ledger_union_all" else 1)
+    assert scans == (4 if name == "ledger_union_all" else 1)
 
 
 def test_year_reaches_the_scan_of_the_orders(spark):
@@ -48,6 +48,40 @@ def test_year_reaches_the_scan_of_the_orders(spark):
     assert "o_orderpriority" not in scan
 
 
+def pushed(spark, name):
+    scans = [line for line in plan(QUERIES[name](spark, SF)).splitlines() if "orders.parquet" in line]
+    return [re.search(r"PushedFilters: \[(.*?)\], ReadSchema", scan).group(1) for scan in scans]
+
+
+MONTH_QUERIES = [
+    "tx_year_month", "tx_account_month", "tx_account_category_month", "tx_flow_year_month",
+    "tx_flow_account_month", "tx_flow_account_category_month", "category_bar_expense",
+    "category_bar_income", "records_json",
+]
+
+
+@pytest.mark.parametrize("name", MONTH_QUERIES)
+def test_month_reaches_the_scan(spark, name):
+    (filters,) = pushed(spark, name)
+    assert "GreaterThanOrEqual(o_orderdate,1998-03-01T00:00)" in filters
+    assert "LessThan(o_orderdate,1998-04-01T00:00)" in filters
+
+
+def test_year_of_the_query_text_reaches_the_scan(spark):
+    (filters,) = pushed(spark, "ledger_sql_scan")
+    assert "GreaterThanOrEqual(o_orderdate,1998-01-01T00:00)" in filters
+    assert "LessThan(o_orderdate,1999-01-01T00:00)" in filters
+
+
+def test_parts_of_the_union_read_disjoint_days(spark):
+    first, second, third, unknown = pushed(spark, "ledger_union_all")
+    assert "LessThan(o_orderdate,1997-01-01T00:00)" in first
+    assert "GreaterThanOrEqual(o_orderdate,1997-01-01T00:00)" in second
+    assert "LessThan(o_orderdate,1999-01-01T00:00)" in second
+    assert "GreaterThanOrEqual(o_orderdate,1999-01-01T00:00)" in third
+    assert "IsNull(o_orderdate)" in unknown
+
+
 def test_selectors_reach_the_scans(spark):
     text = plan(QUERIES["tx_account_category"](spark, SF))
     assert "EqualTo(o_orderpriority,5-LOW)" in text
@@ -85,16 +119,26 @@ def test_category_search_pushes_the_category(stored):
     assert "EqualTo(MainCategory,Food)" in text
 
 
-def test_month_end_is_hashed_before_it_is_shuffled(stored):
-    selection = select_transactions(stored, year="2018")
-    text = plan(balances.account_month_balance(selection))
+@pytest.mark.parametrize(
+    "report, exchanges",
+    [
+        (lambda t: balances.account_month_balance(select_transactions(t, year="2018")), 2),
+        (lambda t: balances.net_worth_monthly(select_transactions(t, year="2018")), 3),
+        (lambda t: reports.history(t, year="2018"), 3),
+    ],
+)
+def test_closing_on_the_stored_table_is_hashed_and_exchanged_once(stored, report, exchanges):
+    text = plan(report(stored))
     # the step next to the scan is the one that sees every row
     first = [line for line in text.splitlines() if "Aggregate(" in line][-1]
     assert "HashAggregate" in first and "partial_max_by" in first
-    assert "Window" not in text
+    for operator in ("Window", "SortAggregate", "Sort ["):
+        assert operator not in text
+    # closing balances, and the twelve months of them
+    assert len(re.findall(r"\bExchange\b", text)) == exchanges
 
 
-def test_files_of_sub_folders_are_not_read(spark, tmp_path):
+def test_files_of_sub_folders_are_not_listed(spark, tmp_path):
     folder = golden.write(tmp_path / "csv", checking=golden.CHECKING)
     golden.write(tmp_path / "csv" / "old", deep="a,b\n1,2\n" * 1000)
     ledger = select_category(typed_ledger(read_exports(spark, folder)))
