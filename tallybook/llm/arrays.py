@@ -74,7 +74,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
     offsets = np.frombuffer(column.buffers()[1], np.int64)
     offsets = offsets[column.offset : column.offset + len(column) + 1]
     held = column.buffers()[2]
-    data = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
+    data = np.frombuffer(held or b"", np.uint8)
     first = 0
     while first < len(column):
         after = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
@@ -84,7 +84,9 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
         first = after
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def runs(
+    data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of chosen bytes, none across two texts."""
     inside = chosen[data]
     before = np.empty(len(data), bool)

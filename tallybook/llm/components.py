@@ -17,7 +17,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         links = stored(_small_star(_large_star(links)), "stars")
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        hashes = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        now = tuple(links.agg(F.count("*"), hashes).first())
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

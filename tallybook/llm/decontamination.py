@@ -179,7 +179,9 @@ def _prints(
             pa.array(prints.view(np.int64)),
             pa.array(sizes.astype(np.int32)),
             pa.array(at - first[owner[at]]),
-            pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends_at), buffer]),
+            pa.BinaryArray.from_buffers(
+                pa.binary(), len(at), [None, pa.py_buffer(ends_at), buffer]
+            ),
         ],
         fields=list(_PRINT),
     )

@@ -15,7 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.arrays import LETTERS, Texts, many_span_hashes, runs, text_slices
+from tallybook.llm.arrays import (
+    LETTERS,
+    Texts,
+    lower_ascii,
+    many_span_hashes,
+    runs,
+    text_slices,
+)
 
 FEATURE_BITS = 18
 UNDETERMINED = "und"
@@ -61,7 +68,7 @@ def train(docs: DataFrame, seed: int = 0, sample_docs: int = SAMPLE_DOCS) -> Mod
     stretches = (
         labelled.join(F.broadcast(drawn), "doc_id")
         .select("doc_id", "lang", "text")
-        .mapInArrow(_stretches, "number bigint, lang string, text string")
+        .mapInArrow(_stretches, "lang string, text string")
     )
     row = stretches.repartition(1).mapInArrow(_fitter(seed), _MODEL).first()
     if row is None:
@@ -132,7 +139,7 @@ def _word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> li
 def _gram_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """For byte pairs and triples, the feature that starts at each byte; -1 outside words."""
     size = len(data)
-    lower = data.astype(np.uint64) | ((data >= 0x41) & (data <= 0x5A)).astype(np.uint64) << np.uint64(5)
+    lower = lower_ascii()[data].astype(np.uint64)
     room = np.zeros(size + 1, np.int32)  # bytes from here to the end of the word
     room[starts] += 1
     room[ends] -= 1
@@ -270,7 +277,7 @@ def _with_letters(
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of words, evenly over each text; all of them where a text has no more."""
     for batch in batches:
-        numbers, languages, pieces = [], [], []
+        languages, pieces = [], []
         for texts in text_slices(batch.column("text")):
             starts, ends = _words(texts.data, texts.offsets)
             cuts = np.searchsorted(starts, texts.offsets)
@@ -284,12 +291,11 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         texts.data[a:b].tobytes().decode()
                         for a, b in zip(starts[begin:after], ends[begin:after])
                     ]
-                    numbers.append(len(numbers))
                     languages.append(batch.column("lang")[texts.first + i].as_py())
                     pieces.append(" ".join(words))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(numbers, pa.int64()), pa.array(languages, pa.string()), pa.array(pieces, pa.string())],
-            names=["number", "lang", "text"],
+            [pa.array(languages, pa.string()), pa.array(pieces, pa.string())],
+            names=["lang", "text"],
         )
 
 
@@ -349,7 +355,7 @@ def fit(
                     stretches = stretches[label[stretches] == label[stretches[0]]]
                 run = np.concatenate([np.arange(cuts[s], cuts[s + 1]) for s in stretches])
                 words.append(run)
-                truth.append(np.concatenate([np.full(cuts[s + 1] - cuts[s], label[s]) for s in stretches]))
+                truth.append(np.repeat(label[stretches], cuts[stretches + 1] - cuts[stretches]))
                 first.append(np.arange(len(run)) == 0)
             _step(
                 np.concatenate(words), np.concatenate(truth), np.concatenate(first),

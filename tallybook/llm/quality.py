@@ -192,7 +192,8 @@ def _random_vectors() -> tuple[np.ndarray, np.ndarray]:
     """For each bucket the places of its few nonzero entries, and their signs."""
     bucket = np.arange(BUCKETS, dtype=np.uint64)[:, None] * np.uint64(NONZERO)
     drawn = mix(bucket + np.arange(1, NONZERO + 1, dtype=np.uint64))
-    return (drawn % np.uint64(SIZE)).astype(np.int64), (drawn >> np.uint64(63)).astype(np.int64) * 2 - 1
+    places = (drawn % np.uint64(SIZE)).astype(np.int64)
+    return places, (drawn >> np.uint64(63)).astype(np.int64) * 2 - 1
 
 
 def _add_contexts(sums, of, context, places, signs) -> None:

@@ -9,7 +9,7 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one where a local session has none."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one where a local session has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
