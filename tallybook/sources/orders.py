@@ -49,7 +49,8 @@ def order_ledger(
     if year is not None:
         first = date(int(year), int(month or 1), 1)
         months = 12 if month is None else 1
-        beyond = date(first.year + (first.month + months - 1) // 12, (first.month + months - 1) % 12 + 1, 1)
+        years, past = divmod(first.month - 1 + months, 12)
+        beyond = date(first.year + years, past + 1, 1)
         orders = orders.where(between(first.isoformat(), beyond.isoformat()))
     return post(orders, read_customers(spark, directory))
 
