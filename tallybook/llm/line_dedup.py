@@ -114,48 +114,49 @@ def _long_lines(docs: DataFrame, least_chars: int) -> DataFrame:
 # --- candidates ------------------------------------------------------------------------------
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """Starts (from 1) and lengths of the segments of a line; the later ones are longer by one."""
-    parts = edits + 1
-    short = F.floor(length / parts).cast("int")
-    longer = length % parts
-    found = []
-    for i in range(parts):
-        before = F.greatest(longer - (parts - i), F.lit(0))
-        size = short + F.when(F.lit(parts - i) <= longer, 1).otherwise(0)
-        found.append((F.lit(1) + short * i + before, size))
-    return found
-
-
-def _keys(line: Column, edits: int) -> Column:
-    """Hashes under which a line is listed (index) and probes, as an array of structs.
+def _keys(lines: DataFrame, edits: int, least_chars: int) -> DataFrame:
+    """Hashes ``key`` under which each line is listed (``listed``) or probes.
 
     A probe for a segment of a line that is ``less`` code points shorter starts at most so far
     from the segment's place that edits before and after it are enough to explain the shift.
     """
-    length = F.length(line)
-    found = []
-    for less in range(edits + 1):
-        for i, (start, size) in enumerate(segments(length - less, edits)):
-            for shift in range(-edits, edits + 1):
-                left, right = abs(shift), abs(less - shift)
-                # Left and right of the first whole segment there are i edits and the rest.
-                if left > i or right > edits - i:
-                    continue
-                piece = F.substring(line, start + shift, size)
-                inside = (start + shift >= 1) & (start + shift + size <= length + 1)
-                key = F.xxhash64(length - less, F.lit(i), piece)
-                listed = less == 0 and shift == 0
-                found.append(
-                    F.when(inside, F.struct(key.alias("key"), F.lit(listed).alias("listed")))
-                )
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    parts = edits + 1
+    probes = [
+        (less, i, shift)
+        for less in range(edits + 1)
+        for i in range(parts)
+        for shift in range(-edits, edits + 1)
+        # Left and right of the first whole segment there are i edits at most, and the rest.
+        if abs(shift) <= i and abs(less - shift) <= edits - i
+    ]
+    probe = F.explode(
+        F.array(*[F.expr(f"named_struct('less', {x}, 'i', {i}, 'shift', {y})") for x, i, y in probes])
+    )
+    return (
+        lines.select("line_id", "line", F.length("line").alias("length"), probe.alias("p"))
+        .selectExpr("line_id", "line", "length", "p.less", "p.i", "p.shift", "length - p.less AS other")
+        .where(F.col("other") >= least_chars)
+        # Segments of the other line: the later ones are longer by one.
+        .selectExpr(
+            "*", f"int(other div {parts}) AS short", f"other % {parts} - ({parts} - i) AS over"
+        )
+        .selectExpr(
+            "*", "1 + short * i + greatest(over, 0) + shift AS start",
+            "short + if(over >= 0, 1, 0) AS size",
+        )
+        .where("start >= 1 AND start + size <= length + 1")
+        .selectExpr(
+            "line_id",
+            "xxhash64(other, i, substring(line, start, size)) AS key",
+            "less = 0 AND shift = 0 AS listed",
+        )
+    )
 
 
 def _links(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
     """Pairs of different lines within so many edits."""
     lines = _long_lines(docs, least_chars)
-    keys = lines.select("line_id", F.inline(_keys(F.col("line"), edits)))
+    keys = _keys(lines, edits, least_chars)
     meeting = (
         keys.groupBy("key")
         .agg(
