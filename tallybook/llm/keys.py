@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
-BUCKETS = 1 << 18
+BUCKETS = 1 << 23
 
 
 def join_counted(
@@ -24,20 +24,26 @@ def join_counted(
     return rows.join(F.broadcast(frequent), key).unionByName(rare.join(groups.where(~hot), key))
 
 
-def bucket_of(*keys: str | Column) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-
-
 def maybe_among(rows: DataFrame, keys: DataFrame, on: Sequence[str], among: bool) -> DataFrame:
     """Rows whose key may be one of ``keys``, or those whose key surely is none of them.
 
-    Only the buckets of the keys are broadcast, of which there are ``BUCKETS`` at most.
+    A bitmap of the keys' hashes is broadcast, ``BUCKETS`` bits in rows of 64: of one size at most,
+    whatever the keys are.
     """
-    buckets = keys.select(bucket_of(*on).alias("_bucket")).distinct()
+    place = F.pmod(F.xxhash64(*on), F.lit(BUCKETS))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    one = F.lit(1).cast("bigint")
+    bitmap = (
+        keys.select(word.alias("_word"), F.call_function("shiftleft", one, bit).alias("_bit"))
+        .groupBy("_word")
+        .agg(F.bit_or("_bit").alias("_bits"))
+    )
+    found = F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False))
     return (
-        rows.withColumn("_bucket", bucket_of(*on))
-        .join(F.broadcast(buckets), "_bucket", "left_semi" if among else "left_anti")
-        .drop("_bucket")
+        rows.withColumn("_word", word)
+        .join(F.broadcast(bitmap), "_word", "left")
+        .where(found if among else ~found)
+        .drop("_word", "_bits")
     )
 
 

@@ -26,7 +26,7 @@ from tallybook.llm.storage import stored
 
 SKETCH_BITS = 21
 BANDS = 32
-PIVOTS = 4
+PIVOTS = 8
 # Pairs may be listed once they are at most so many for each place where sets meet.
 PAIRS_PER_PLACE = 8
 MOST_PIVOT_ROUNDS = 8
@@ -70,12 +70,9 @@ def similar_documents(
         .where("low < high")
         .select("gram")
     )
-    places = stored(places.join(meeting, "gram"), "places")
-    members = stored(
-        sets.join(places.select("set_id").distinct(), "set_id", "left_semi"), "members"
-    )
-    full = stored(_full_sets(docs, words, members), "full-sets")
-    links = _links(places, full, percent)
+    meeting = stored(meeting, "meeting")
+    places = stored(maybe_among(places, meeting, ["gram"], True).join(meeting, "gram"), "places")
+    links = _links(docs, words, percent, sets, places)
 
     roots = connected_components(links)
     labels = sets.join(roots, F.col("set_id") == F.col("node"), "left").withColumn(
@@ -87,7 +84,8 @@ def similar_documents(
     answers = (
         labels.join(first, "root")
         .join(degree, "set_id", "left")
-        .select("s1", "s2", "n", "copies", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("bigint")))
+        .select("s1", "s2", "n", "copies", "component_id", "n_links")
     )
     found = join_counted(real, answers, ["s1", "s2", "n"], "copies", total).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links"
@@ -197,7 +195,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, sketch) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, words: int, members: DataFrame) -> DataFrame:
-    """The whole sets of ``members``, each once, with their counts by band of the hashes."""
+    """The whole sets of ``members``, with their counts by band of the hashes."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,9 +203,8 @@ def _full_sets(docs: DataFrame, words: int, members: DataFrame) -> DataFrame:
                 sets = [s for s in map(np.unique, _sets(texts, words)) if len(s)]
                 first = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
                 second = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
-                bands = [
-                    np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=BANDS) for s in sets
-                ]
+                high = [(s >> np.uint64(59)).astype(np.int64) for s in sets]
+                bands = [np.bincount(h, minlength=BANDS) for h in high]
                 lengths = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 yield pa.RecordBatch.from_arrays(
@@ -227,21 +224,18 @@ def _full_sets(docs: DataFrame, words: int, members: DataFrame) -> DataFrame:
     found = near.mapInArrow(
         find, "s1 bigint, s2 bigint, bands array<bigint>, grams array<bigint>"
     )
-    return (
-        found.join(chosen, ["s1", "s2"])
-        .groupBy("set_id")
-        .agg(F.first("bands").alias("bands"), F.first("grams").alias("grams"))
-    )
+    return found.join(chosen, ["s1", "s2"]).select("set_id", "bands", "grams")
 
 
 # --- links -----------------------------------------------------------------------------------
 
 
-def _links(places: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _links(
+    docs: DataFrame, words: int, percent: int, sets: DataFrame, places: DataFrame
+) -> DataFrame:
     """Links ``a < b`` between sets, enough to connect whatever any link connects."""
     n_places = places.count()
-    labels = None
-    links = verified = None
+    labels = full = verified = None
     for number in range(MOST_PIVOT_ROUNDS + 1):
         labelled = places.withColumn("root", F.col("set_id"))
         if labels is not None:
@@ -257,7 +251,14 @@ def _links(places: DataFrame, full: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.distinct()
         if verified is not None:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
-        checked = stored(_verified(pairs, full, percent), "verified")
+        pairs = stored(pairs, "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        if full is not None:
+            wanted = wanted.join(full, "set_id", "left_anti")
+        members = stored(sets.join(wanted, "set_id", "left_semi"), "members")
+        more = stored(_full_sets(docs, words, members), "full-sets")
+        full = more if full is None else full.unionByName(more)
+        checked = stored(_verified(pairs, full, percent).distinct(), "verified")
         verified = checked if verified is None else verified.unionByName(checked)
         links = verified.where("linked").select("a", "b")
         if last:
@@ -331,8 +332,10 @@ def _needed(x: Column, y: Column, percent: int) -> Column:
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Whether each pair is linked: suffix filter, then the intersection of the whole sets."""
-    one = full.select(F.col("set_id").alias("a"), F.col("bands").alias("a_bands"), F.col("grams").alias("a_grams"))
-    two = full.select(F.col("set_id").alias("b"), F.col("bands").alias("b_bands"), F.col("grams").alias("b_grams"))
+    one, two = (
+        full.selectExpr(f"set_id AS {x}", f"bands AS {x}_bands", f"grams AS {x}_grams")
+        for x in ("a", "b")
+    )
     shared = F.expr(
         "aggregate(zip_with(a_bands, b_bands, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)"
     )
