@@ -167,44 +167,39 @@ def _links(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
         .where("low < high AND has_listed = 1")
         .select("key")
     )
-    met = stored(keys.join(meeting, "key").distinct(), "met-lines")
-    pairs = (
-        met.where("listed").select("key", F.col("line_id").alias("a"))
-        .join(met.select("key", F.col("line_id").alias("b")), "key")
-        .where("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
+    meeting = stored(meeting, "meeting-keys")
+    # Most keys are of one line: they stay where they are.
+    met = maybe_among(keys, meeting, ["key"], True).join(meeting, "key").distinct()
+    met = stored(met, "met-lines")
     texts = (
         maybe_among(lines, met, ["line_id"], True)
         .groupBy("line_id")
         .agg(F.min("line").alias("line"))
-        .withColumns({"chars": _chars(F.col("line")), "length": F.length("line")})
+        .withColumn("chars", _chars(F.col("line")))
     )
     sketched = stored(
         texts.select(
-            "line_id", "line", "length",
+            "line_id", "line", F.length("line").alias("length"),
             _parities(F.col("chars"), 1).alias("ones"), _parities(F.col("chars"), 2).alias("twos"),
         ),
         "line-sketches",
     )
-
-    def side(name: str, with_text: bool) -> DataFrame:
-        columns = ["line"] if with_text else ["length", "ones", "twos"]
-        return sketched.select(
-            F.col("line_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns]
-        )
-
-    flips = lambda c: F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
-    near = pairs.join(side("a", False), "a").join(side("b", False), "b").where(
-        (F.abs(F.col("a_length") - F.col("b_length")) <= edits)
-        & (flips("ones") <= 2 * edits)
-        & (flips("twos") <= 4 * edits)
+    places = met.join(sketched.drop("line"), "line_id")
+    a, b = places.where("listed").alias("a"), places.alias("b")
+    # The bounds are part of the join: pairs that fail them are not made.
+    near = a.join(
+        b,
+        F.expr(f"""a.key = b.key AND a.line_id <> b.line_id
+            AND abs(a.length - b.length) <= {edits}
+            AND bit_count(a.ones ^ b.ones) <= {2 * edits}
+            AND bit_count(a.twos ^ b.twos) <= {4 * edits}"""),
+    ).select(
+        F.least("a.line_id", "b.line_id").alias("a"), F.greatest("a.line_id", "b.line_id").alias("b")
     )
-    near = stored(near.select("a", "b"), "near-lines")
-    verified = near.join(side("a", True), "a").join(side("b", True), "b")
+    near = stored(near.distinct(), "near-lines")
+    one, two = (sketched.selectExpr(f"line_id AS {x}", f"line AS {x}_line") for x in ("a", "b"))
     within = banded_distance(F.col("a_line"), F.col("b_line"), edits) <= edits
-    return verified.where(within).select("a", "b")
+    return near.join(one, "a").join(two, "b").where(within).select("a", "b")
 
 
 def _chars(line: Column) -> Column:
