@@ -8,8 +8,8 @@ they meet (positional filter); before the sets are intersected, their counts ove
 hashes must leave enough overlap (suffix filter). Each pair is verified once, by its whole sets.
 
 Documents of equal sets are one node. In a large group of near copies, most pairs lie inside one
-component after few links are known: rounds of pivots compare all that share an n-gram with some
-of them only, and the pairs that remain are those between different components.
+component after few links are known: two rounds of pivots compare all that share an n-gram with
+some of them only, and the pairs that remain are those between different components.
 """
 
 from collections.abc import Iterator
@@ -26,10 +26,8 @@ from tallybook.llm.storage import stored
 
 SKETCH_BITS = 21
 BANDS = 32
-PIVOTS = 8
-# Pairs may be listed once they are at most so many for each place where sets meet.
-PAIRS_PER_PLACE = 8
-MOST_PIVOT_ROUNDS = 8
+# How many sets each round draws at every place, to be compared with all others there.
+PIVOTS = 4, 16
 _PIECE = 1 << 13
 
 
@@ -195,7 +193,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, sketch) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, words: int, members: DataFrame) -> DataFrame:
-    """The whole sets of ``members``, with their counts by band of the hashes."""
+    """The whole sets of ``members`` (and few others), with their counts by band of the hashes."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,14 +215,10 @@ def _full_sets(docs: DataFrame, words: int, members: DataFrame) -> DataFrame:
                     names=["s1", "s2", "bands", "grams"],
                 )
 
-    chosen = members.select("first_id", "s1", "s2", "set_id")
-    near = maybe_among(
-        docs, chosen.select(F.col("first_id").alias("doc_id")), ["doc_id"], True
-    )
-    found = near.mapInArrow(
+    firsts = members.select(F.col("first_id").alias("doc_id"))
+    return maybe_among(docs, firsts, ["doc_id"], True).mapInArrow(
         find, "s1 bigint, s2 bigint, bands array<bigint>, grams array<bigint>"
     )
-    return found.join(chosen, ["s1", "s2"]).select("set_id", "bands", "grams")
 
 
 # --- links -----------------------------------------------------------------------------------
@@ -234,9 +228,8 @@ def _links(
     docs: DataFrame, words: int, percent: int, sets: DataFrame, places: DataFrame
 ) -> DataFrame:
     """Links ``a < b`` between sets, enough to connect whatever any link connects."""
-    n_places = places.count()
-    labels = full = verified = None
-    for number in range(MOST_PIVOT_ROUNDS + 1):
+    labels = verified = None
+    for number, pivots in enumerate([*PIVOTS, None]):
         labelled = places.withColumn("root", F.col("set_id"))
         if labels is not None:
             labelled = (
@@ -245,45 +238,35 @@ def _links(
                 .drop("node")
             )
         labelled = stored(_undecided(labelled), "undecided")
-        left = labelled.agg(F.sum("others")).first()[0] or 0
-        last = left <= PAIRS_PER_PLACE * n_places or number == MOST_PIVOT_ROUNDS
-        pairs = _all_pairs(labelled, percent) if last else _pivot_pairs(labelled, percent, number)
+        if pivots is None:
+            pairs = _all_pairs(labelled, percent)
+        else:
+            pairs = _pivot_pairs(labelled, percent, number, pivots)
         pairs = pairs.distinct()
         if verified is not None:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        if full is not None:
-            wanted = wanted.join(full, "set_id", "left_anti")
         members = stored(sets.join(wanted, "set_id", "left_semi"), "members")
-        more = stored(_full_sets(docs, words, members), "full-sets")
-        full = more if full is None else full.unionByName(more)
-        checked = stored(_verified(pairs, full, percent).distinct(), "verified")
+        full = stored(_full_sets(docs, words, members), "full-sets")
+        checked = stored(_verified(pairs, members, full, percent).distinct(), "verified")
         verified = checked if verified is None else verified.unionByName(checked)
         links = verified.where("linked").select("a", "b")
-        if last:
-            return links
-        labels = connected_components(links)
+        if pivots is not None:
+            labels = connected_components(links)
+    return links
 
 
 def _undecided(labelled: DataFrame) -> DataFrame:
-    """Places where sets of several components meet, ``others`` counting those a set outside the
-    place's largest component has yet to be compared with."""
+    """Places where sets of several components meet, with the largest of those components."""
     by_root = labelled.groupBy("gram", "root").agg(F.count("*").alias("size"))
     by_gram = (
         by_root.groupBy("gram")
-        .agg(
-            F.sum("size").alias("all"),
-            F.max_by("root", "size").alias("main"),
-            F.count("*").alias("roots"),
-        )
+        .agg(F.max_by("root", "size").alias("main"), F.count("*").alias("roots"))
         .where("roots > 1")
-        .select("gram", "all", "main")
-    )
-    outside = F.col("root") != F.col("main")
-    return labelled.join(by_gram, "gram").withColumn(
-        "others", F.when(outside, F.col("all") - 1).otherwise(0)
+        .select("gram", "main")
     )
+    return labelled.join(by_gram, "gram")
 
 
 def _all_pairs(labelled: DataFrame, percent: int) -> DataFrame:
@@ -293,16 +276,16 @@ def _all_pairs(labelled: DataFrame, percent: int) -> DataFrame:
     return _filtered(x.join(y, "gram"), percent)
 
 
-def _pivot_pairs(labelled: DataFrame, percent: int, number: int) -> DataFrame:
+def _pivot_pairs(labelled: DataFrame, percent: int, number: int, pivots: int) -> DataFrame:
     """At each place, some sets drawn at random (the same at every place, if they are there)
     against all."""
     chosen = [
-        F.min_by(column, F.xxhash64("set_id", F.lit(number * PIVOTS + k))).alias(f"{column}_{k}")
-        for k in range(PIVOTS)
+        F.min_by(column, F.xxhash64("set_id", F.lit(f"{number}/{k}"))).alias(f"{column}_{k}")
+        for k in range(pivots)
         for column in _OF_SET
     ]
     structs = ", ".join(
-        "struct(" + ", ".join(f"{c}_{k} AS x_{c}" for c in _OF_SET) + ")" for k in range(PIVOTS)
+        "struct(" + ", ".join(f"{c}_{k} AS x_{c}" for c in _OF_SET) + ")" for k in range(pivots)
     )
     x = labelled.groupBy("gram").agg(*chosen).selectExpr("gram", f"inline(array({structs}))")
     y = labelled.select("gram", *[F.col(c).alias(f"y_{c}") for c in _OF_SET])
@@ -330,10 +313,14 @@ def _needed(x: Column, y: Column, percent: int) -> Column:
     return F.ceil(percent * (x + y) / F.lit(100 + percent))
 
 
-def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _verified(
+    pairs: DataFrame, members: DataFrame, full: DataFrame, percent: int
+) -> DataFrame:
     """Whether each pair is linked: suffix filter, then the intersection of the whole sets."""
+    for x in ("a", "b"):
+        pairs = pairs.join(members.selectExpr(f"set_id AS {x}", f"s1 AS {x}_1", f"s2 AS {x}_2"), x)
     one, two = (
-        full.selectExpr(f"set_id AS {x}", f"bands AS {x}_bands", f"grams AS {x}_grams")
+        full.selectExpr(f"s1 AS {x}_1", f"s2 AS {x}_2", f"bands AS {x}_bands", f"grams AS {x}_grams")
         for x in ("a", "b")
     )
     shared = F.expr(
@@ -343,6 +330,6 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     common = F.size(F.array_intersect("a_grams", "b_grams"))
     reaches = 100 * common >= percent * (sizes - common)
     passes = shared >= _needed(F.size("a_grams"), F.size("b_grams"), percent)
-    return pairs.join(one, "a").join(two, "b").select(
+    return pairs.join(one, ["a_1", "a_2"]).join(two, ["b_1", "b_2"]).select(
         "a", "b", F.when(passes, reaches).otherwise(False).alias("linked")
     )
