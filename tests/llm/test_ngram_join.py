@@ -82,9 +82,7 @@ def test_equals_all_pairs(spark, rows, words, percent):
 
 
 def test_pivot_rounds_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(module, "PAIRS_PER_PLACE", 0.01)
-    monkeypatch.setattr(module, "MOST_PIVOT_ROUNDS", 2)
-    monkeypatch.setattr(module, "PIVOTS", 2)
+    monkeypatch.setattr(module, "PIVOTS", (1, 2))
     rnd = random.Random(7)
     vocabulary = [f"w{i}" for i in range(2000)]
     base = rnd.choices(vocabulary, k=200)
