@@ -237,7 +237,9 @@ def _links(
                 .withColumn("root", F.coalesce("root", "set_id"))
                 .drop("node")
             )
-        labelled = stored(_undecided(labelled), "undecided")
+        # Pivots save nothing where there are hardly more sets than pivots.
+        least = 1 if pivots is None else max(PIVOTS)
+        labelled = stored(_undecided(labelled, least), "undecided")
         if pivots is None:
             pairs = _all_pairs(labelled, percent)
         else:
@@ -257,13 +259,18 @@ def _links(
     return links
 
 
-def _undecided(labelled: DataFrame) -> DataFrame:
-    """Places where sets of several components meet, with the largest of those components."""
+def _undecided(labelled: DataFrame, least: int) -> DataFrame:
+    """Places where sets of several components meet, more than ``least`` sets in all, with the
+    largest of those components."""
     by_root = labelled.groupBy("gram", "root").agg(F.count("*").alias("size"))
     by_gram = (
         by_root.groupBy("gram")
-        .agg(F.max_by("root", "size").alias("main"), F.count("*").alias("roots"))
-        .where("roots > 1")
+        .agg(
+            F.max_by("root", "size").alias("main"),
+            F.count("*").alias("roots"),
+            F.sum("size").alias("all"),
+        )
+        .where((F.col("roots") > 1) & (F.col("all") > least))
         .select("gram", "main")
     )
     return labelled.join(by_gram, "gram")
