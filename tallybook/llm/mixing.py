@@ -19,6 +19,8 @@ _ROUNDS_PER_TABLE = 4
 # Cells are broadcast up to this number (under 20 MB), and joined with salts beyond it.
 BROADCAST_CELLS = 100_000
 SALTS = 32
+# Weights that sum to 1 but for rounding.
+_NOTHING_LEFT = 1e-9
 _SPACE_RUNS = r"[\x20\x09-\x0D]+"
 
 
@@ -51,8 +53,9 @@ def mix(
 
     ``targets`` has for each margin column either the weights of its values or a power: the
     values' own shares to that power (0 makes them even, 1 keeps them). Values without a weight
-    share what their own shares leave, weighted values without documents give theirs up. ``draw``
-    is the row's number in [0, 1) that its probability is held against.
+    share what the weights leave of 1; where these leave nothing, such values keep their own share
+    and the weights divide the rest. Weighted values without documents give theirs up. ``draw`` is
+    the row's number in [0, 1) that its probability is held against.
 
     A null value of a margin is a value like others. Documents without tokens weigh nothing and
     are sampled with their cell's probability; cells without any token have probability 1. Given
@@ -122,8 +125,12 @@ def _targets(cells: DataFrame, margin: str, wanted: Mapping[str, float] | float)
         for name, given in wanted.items():
             weight = F.when(F.col("_value") == name, F.lit(float(given))).otherwise(weight)
         # What the weights leave goes to the values that have none.
-        rest = max(0.0, 1.0 - sum(wanted.values()))
-        free = values.where(weight.isNull()).agg(F.sum("_share")).first()[0] or 1.0
-        share = F.coalesce(weight, F.lit(rest) * F.col("_share") / F.lit(free))
+        rest = 1.0 - sum(wanted.values())
+        free = values.where(weight.isNull()).agg(F.sum("_share")).first()[0] or 0.0
+        if free and rest < _NOTHING_LEFT:
+            listed = values.agg(F.sum(weight)).first()[0] or 1.0
+            share = F.coalesce(weight * F.lit((1.0 - free) / listed), F.col("_share"))
+        else:
+            share = F.coalesce(weight, F.lit(max(0.0, rest)) * F.col("_share") / F.lit(free or 1.0))
     total = values.agg(F.sum(share)).first()[0] or 1.0
     return values.select("_value", (share / F.lit(total)).alias(f"_to_{margin}"))

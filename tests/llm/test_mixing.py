@@ -57,6 +57,23 @@ def test_power_keeps_or_evens(frame):
     assert all(r.probability == pytest.approx(1.0) for r in kept)
 
 
+def test_values_without_weight_keep_their_share(frame):
+    langs = F.when(F.col("doc_id") % 10 == 0, None).when(F.col("doc_id") % 10 == 1, "it").otherwise(F.col("lang"))
+    rows = mix(frame.withColumn("lang", langs), {"lang": {"a": 0.7, "b": 0.3, "c": 0.0}}, token_count(F.col("text")), draw()).collect()
+    total = sum(r.tokens for r in rows)
+    own = {v: sum(r.tokens for r in rows if r.lang == v) / total for v in (None, "it")}
+    by_lang, rest = shares(rows, "lang"), 1 - own[None] - own["it"]
+    assert by_lang == pytest.approx({**own, "a": 0.7 * rest, "b": 0.3 * rest, "c": 0.0})
+    assert any(r.sampled for r in rows if r.lang is None) and any(r.sampled for r in rows if r.lang == "it")
+
+
+def test_the_mix_draws_documents_of_null_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lang = F.when(F.col("doc_id") % 4 == 0, None).otherwise(F.col("lang"))
+    rows = queries.mixed(docs.withColumn("lang", lang)).collect()
+    assert any(r.sampled for r in rows if r.lang is None)
+
+
 def test_tokens_and_topics(spark):
     texts = [*ODD_TEXTS, "a | b", "x!! y", "a$$$", "no. 7", "plain  words \t here"]
     frame = spark.createDataFrame([(t,) for t in texts], "text string")
