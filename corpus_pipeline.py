@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-duplicate links connect, keep the one with the smallest id."""
-    found = ngram_join.similar_documents(docs, WORDS, PERCENT)
+    found = ngram_join.similar_documents(docs, WORDS, PERCENT, count_links=False)
     copies = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     return without(docs, stored(copies.select("doc_id"), "copies"), ["doc_id"])
 

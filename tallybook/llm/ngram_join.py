@@ -10,9 +10,14 @@ hashes must leave enough overlap (suffix filter). Each pair is verified once, by
 Documents of equal sets are one node. In a large group of near copies, most pairs lie inside one
 component after few links are known: two rounds of pivots compare all that share an n-gram with
 some of them only, and the pairs that remain are those between different components.
+
+Links are then counted for themselves. All links of a set are inside its component, so a component
+is cut into blocks of sets of like size, and every two blocks whose sizes can link are compared
+whole: their overlaps are one product of two 0/1 matrices.
 """
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +33,23 @@ SKETCH_BITS = 21
 BANDS = 32
 # How many sets each round draws at every place, to be compared with all others there.
 PIVOTS = 4, 16
+# About so many sets, or n-grams in them, make a block of a component.
+BLOCK_SETS = 256
+BLOCK_GRAMS = 1 << 20
 _PIECE = 1 << 13
+_COLUMNS = 1 << 11
 
 
 def similar_documents(
-    docs: DataFrame, words: int, percent: int
+    docs: DataFrame, words: int, percent: int, count_links: bool = True
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` of every row.
 
     Texts are lower-cased (A to Z) and cut at white space; the set has all runs of ``words`` words,
     or the whole sequence where there are fewer. Documents are linked where ``100 * intersection >=
     percent * union``; a component's id is the smallest id that links reach. ``n_links`` counts the
-    links known between a document's set and others, at least enough to connect the component.
+    other sets that the document's set is linked with, all of them and each once, however many
+    documents have it. It takes all pairs of a component; without ``count_links`` it is left out.
 
     Null, empty and blank texts have no set and no links, and are their own component. Repeated
     ids, null ids (last among ids) and equal rows are separate rows with the same answer; ties need
@@ -77,24 +87,21 @@ def similar_documents(
         "root", F.coalesce("root", "set_id")
     )
     first = labels.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("set_id"))
-    degree = ends.groupBy("set_id").agg(F.count("*").alias("n_links"))
-    answers = (
-        labels.join(first, "root")
-        .join(degree, "set_id", "left")
-        .withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("bigint")))
-        .select("s1", "s2", "n", "copies", "component_id", "n_links")
-    )
-    found = join_counted(real, answers, ["s1", "s2", "n"], "copies", total).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links"
+    answers = labels.join(first, "root").select(
+        "set_id", "s1", "s2", "n", "copies", "component_id"
     )
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    if count_links:
+        degree = stored(_degrees(docs, words, percent, labels.where("node IS NOT NULL")), "degrees")
+        answers = answers.join(degree, "set_id", "left").withColumn(
+            "n_links", F.coalesce("n_links", F.lit(0).cast("bigint"))
+        )
+        columns.append("n_links")
+    found = join_counted(real, answers.drop("set_id"), ["s1", "s2", "n"], "copies", total)
     alone = rows.where("n = 0").select(
-        "doc_id",
-        F.lit(0).cast("bigint").alias("n_shingles"),
-        F.col("doc_id").alias("component_id"),
-        F.lit(0).cast("bigint").alias("n_links"),
+        "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links")
     )
-    return found.unionByName(alone)
+    return found.select(*columns).unionByName(alone.select(*columns))
 
 
 # --- sets ------------------------------------------------------------------------------------
@@ -340,3 +347,96 @@ def _verified(
     return pairs.join(one, ["a_1", "a_2"]).join(two, ["b_1", "b_2"]).select(
         "a", "b", F.when(passes, reaches).otherwise(False).alias("linked")
     )
+
+
+# --- number of links -------------------------------------------------------------------------
+
+
+def _degrees(docs: DataFrame, words: int, percent: int, labels: DataFrame) -> DataFrame:
+    """``set_id, n_links``: with how many sets of its component each set is linked."""
+    # Sizes that can link are in one band or in neighbouring ones; a little wider, for rounding.
+    width = 1.001 * max(math.log(100 / percent), 1e-3)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int").alias("band")
+    members = stored(labels.select("set_id", "first_id", "s1", "s2", "n", "root", band), "linked")
+    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS))
+    layouts = (
+        members.groupBy("root", "band")
+        .agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
+        .groupBy("root")
+        .agg(
+            F.sum("sets").alias("copies"),
+            F.sum("grams").alias("grams"),
+            F.map_from_entries(F.collect_list(F.struct("band", blocks.cast("int")))).alias("blocks"),
+        )
+        .withColumn("whole", (F.col("copies") <= BLOCK_SETS) & (F.col("grams") <= BLOCK_GRAMS))
+    )
+    layouts = stored(layouts.drop("grams"), "layouts")
+    placed = join_counted(members, layouts, "root", "copies", members.count())
+    placed = placed.withColumn(
+        "mine", F.expr("int(pmod(xxhash64(set_id), element_at(blocks, band)))")
+    ).withColumn("jobs", F.expr(_JOBS))
+    full = _full_sets(docs, words, members).select("s1", "s2", "grams")
+    compared = (
+        full.join(placed.select("set_id", "root", "s1", "s2", "jobs"), ["s1", "s2"])
+        .select("set_id", "root", "grams", F.explode("jobs").alias("job"))
+        .select("set_id", "root", "grams", "job.*")
+    )
+    counted = compared.groupBy("root", "x_band", "x", "y_band", "y").applyInArrow(
+        _block_links(percent), "set_id bigint, links bigint"
+    )
+    return counted.groupBy("set_id").agg(F.sum("links").alias("n_links"))
+
+
+# The pairs of blocks that a set takes part in, and on which sides.
+_JOB = "named_struct('x_band', {}, 'x', {}, 'y_band', {}, 'y', {}, 'in_x', {}, 'in_y', {})"
+_OTHERS = "transform(sequence(0, coalesce(element_at(blocks, {}), 1) - 1), q -> {})"
+_SAME_BAND = _OTHERS.format(
+    "band", _JOB.format("band", "least(mine, q)", "band", "greatest(mine, q)", "mine <= q", "mine >= q")
+)
+_NEXT_BAND = _OTHERS.format(
+    "band + 1", _JOB.format("band", "mine", "band + 1", "q", "true", "false")
+)
+_LAST_BAND = _OTHERS.format(
+    "band - 1", _JOB.format("band - 1", "q", "band", "mine", "false", "true")
+)
+_JOBS = f"""if(whole, array({_JOB.format(0, 0, 0, 0, "true", "true")}), concat({_SAME_BAND},
+    if(map_contains_key(blocks, band + 1), {_NEXT_BAND}, array()),
+    if(map_contains_key(blocks, band - 1), {_LAST_BAND}, array())))"""
+
+
+def _block_links(percent: int) -> Callable[[pa.Table], pa.Table]:
+    def count(table: pa.Table) -> pa.Table:
+        # Rows that repeat a document's id bring its set again.
+        ids, rows = np.unique(table.column("set_id").to_numpy(), return_index=True)
+        table = table.take(pa.array(rows))
+        sets = [grams.values.to_numpy() for grams in table.column("grams")]
+        x, y = (np.flatnonzero(table.column(c).to_numpy()) for c in ("in_x", "in_y"))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        common = _overlaps(sets, sizes, x, y)
+        linked = 100 * common >= percent * (sizes[x][:, None] + sizes[y] - common)
+        linked &= ids[x][:, None] != ids[y]
+        links = np.zeros(len(ids), np.int64)
+        links[x] += linked.sum(axis=1)
+        alone = ~np.isin(y, x)  # a block against itself has both directions in its rows
+        links[y[alone]] += linked.sum(axis=0)[alone]
+        return pa.table({"set_id": ids, "links": links})
+
+    return count
+
+
+def _overlaps(sets: list[np.ndarray], sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of the sets ``x`` with the sets ``y``."""
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    several = held > 1
+    kept = several[column]
+    row, column = row[kept], (np.cumsum(several) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(x), len(y)), np.int64)
+    for begin in range(0, int(several.sum()), _COLUMNS):
+        low, high = np.searchsorted(column, [begin, begin + _COLUMNS])
+        holds = np.zeros((len(sets), _COLUMNS), np.float32)
+        holds[row[low:high], column[low:high] - begin] = 1
+        common += (holds[x] @ holds[y].T).astype(np.int64)
+    return common

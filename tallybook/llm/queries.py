@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.similar_documents(_table(spark, sf_dir, "documents"), words=3, percent=90)
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,41 @@ def test_number_of_links(spark):
     assert found == {1: 1, 2: 1, 3: 1, 4: 0}
 
 
+def linked_sets(rows, words, percent):
+    sets = {d: shingles(text, words) for d, text in rows}
+    apart = set(sets.values()) - {frozenset()}
+    degree = {
+        a: sum(a != b and 100 * len(a & b) >= percent * len(a | b) for b in apart) for a in apart
+    }
+    return {d: degree.get(s, 0) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_all_links_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(module, "BLOCK_SETS", block)
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    base = rnd.choices(vocabulary, k=200)
+    texts = []
+    for i in range(100):
+        said = base + rnd.choices(vocabulary, k=rnd.randint(0, 15))
+        for _ in range(rnd.randint(0, 2)):
+            said[rnd.randrange(200)] = rnd.choice(vocabulary)
+        texts.append(" ".join(said))
+    rows = list(enumerate(texts + texts[:3] + ["a pair of its own", "a pair of its own " * 2, ""]))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    expected = linked_sets(rows, 3, 90)
+    found = {r.doc_id: r.n_links for r in similar_documents(frame, 3, 90).collect()}
+    assert found == expected
+    assert sum(expected.values()) > 1000 and min(expected.values()) == 0
+
+
+def test_query_returns_all_links(spark):
+    path = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
+    assert {r.doc_id: r.n_links for r in op1_ngram_join(spark, path).collect()} == linked_sets(rows, 3, 90)
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id bigint, text string")
     assert answers(similar_documents(frame, 3, 90)) == []
