@@ -24,7 +24,7 @@ LEAST_CHARS = 24
 
 
 def near_duplicate_lines(
-    docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS
+    docs: DataFrame, edits: int = EDITS, least_chars: int | None = None
 ) -> DataFrame:
     """``doc_id, text, n_lines, n_dropped``: texts without the lines that repeat an earlier one.
 
@@ -33,17 +33,30 @@ def near_duplicate_lines(
     a code point) of each other are linked; of all lines that links connect, equal ones included,
     only the first stays, by document id and place. Shorter lines all stay.
 
+    Without ``least_chars`` every line that is not blank counts: those of ``LEAST_CHARS`` are
+    linked within ``edits`` edits, shorter ones within as many less as they are shorter (12 code
+    points for each of two edits, by the shorter line of a pair), and the shortest if equal.
+
     A null text stays null with no lines, an empty one has one (empty) line. Null ids come last;
     rows that repeat an id and a line keep it in each. An empty table gives no rows, and other
     columns are not read.
     """
-    if least_chars <= 2 * edits + 1:
+    by_length = [(edits, least_chars or LEAST_CHARS, None)]
+    if least_chars is None:
+        each = LEAST_CHARS // max(edits, 1)
+        # A line that is just too short for one edit more meets lines longer by its edits.
+        by_length = [(e, max(each * e, 2 * e + 2), each * (e + 1) - 1 + e) for e in range(1, edits)]
+        by_length.append((edits, LEAST_CHARS, None))
+    if any(least <= 2 * e + 1 for e, least, _ in by_length):
         raise ValueError("lines must be longer than the band of the edit distance")
+    least_chars = least_chars or 1
     docs = docs.select("doc_id", "text")
     lines = stored(_long_lines(docs, least_chars).groupBy("line_id", "check").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")).alias("first")
     ), "lines")
-    links = _links(docs, edits, least_chars)
+    links = _links(docs, *by_length[0])
+    for edits_and_lengths in by_length[1:]:
+        links = links.unionByName(_links(docs, *edits_and_lengths))
     roots = connected_components(links)
     labelled = lines.join(roots, F.col("line_id") == F.col("node"), "left")
     firsts = labelled.groupBy(F.coalesce("root", "line_id").alias("class")).agg(
@@ -153,9 +166,11 @@ def _keys(lines: DataFrame, edits: int, least_chars: int) -> DataFrame:
     )
 
 
-def _links(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
+def _links(docs: DataFrame, edits: int, least_chars: int, most_chars: int | None) -> DataFrame:
     """Pairs of different lines within so many edits."""
     lines = _long_lines(docs, least_chars)
+    if most_chars is not None:
+        lines = lines.where(F.length("line") <= most_chars)
     keys = _keys(lines, edits, least_chars)
     meeting = (
         keys.groupBy("key")

@@ -124,6 +124,34 @@ def test_long_and_hot_lines(spark):
     assert [found[i].n_dropped for i in (1000, 1001, 1002)] == [0, 1, 0]
 
 
+def test_short_lines(spark):
+    rights, alike = "All rights reserved.", "All rights reserved!"
+    longer, other = "123456789 123456789 123", "123456789 123456789 1234"
+    rows = [
+        (1, f"{rights}\n\nyes\n{longer}"),
+        (2, f"one\n {rights}\t\n\nyes"),
+        (3, f"{alike}\ntwo\n\n{other}\none"),
+        (4, "all Rights reserved.\nAll rights\nyEs"),
+        (5, "123456789 123456789 xy34\n123456789 1234567xy"),
+    ]
+    found = answers(near_duplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert found == [
+        (1, rows[0][1], 4, 0),
+        (2, "one\n", 4, 2),
+        (3, "two\n", 5, 3),
+        (4, rows[3][1], 3, 0),
+        (5, "123456789 1234567xy", 2, 1),
+    ]
+
+
+def test_query_drops_repeated_short_lines(spark):
+    path = "/root/testdata/sf0.001"
+    texts = [r.text or "" for r in spark.read.parquet(f"{path}/documents.parquet").select("text").collect()]
+    short = [x.strip(" \t\r") for t in texts for x in t.split("\n")]
+    repeats = sum(n - 1 for x, n in __import__("collections").Counter(short).items() if x)
+    assert sum(r.n_dropped for r in op8_line_dedup(spark, path).collect()) >= repeats
+
+
 def test_empty_table_and_bounds(spark):
     frame = spark.createDataFrame([], "doc_id bigint, text string")
     assert answers(near_duplicate_lines(frame)) == []
