@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm import (
+    bpe,
     chat,
     decontamination,
     exact_dedup,
     langid,
     line_dedup,
+    merkle,
     mixing,
     ngram_join,
     quality,
+    ranking,
     secrets,
     sharding,
 )
@@ -163,6 +166,53 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(probe)))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def leaf(n_chars):
+        values = [F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")]
+        return merkle.digest(*[merkle.field(value) for value in values])
+
+    n_chars = F.col("n_chars")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = _table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "lang",
+        leaf(n_chars).alias("leaf"),
+        F.when(tampered, leaf(n_chars + 1)).alias("tampered"),
+    )
+    tree = merkle.manifest(leaves, "leaf", "lang", "doc_id", ["doc_id", "tampered"])
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return tree.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    numbers = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), tokenizer).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(numbers, 256).alias("ids_sha256"),
+        "ids",
+    )
+    kept = ["doc_id", "n_tokens", "ids_sha256"]
+    return bpe.decode(encoded, tokenizer, kept).select(
+        *kept, F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -175,11 +225,19 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_secrets": op9_secrets,
         "op10_chat": op10_chat,
+        "op11_ranked_search": op11_ranked_search,
+        "op12_merkle": op12_merkle,
+        "op13_bpe": op13_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _EXACT_SQL, "op3_mixing": _mixing_sql()}
+    return {
+        "op2_exact_dedup": _EXACT_SQL,
+        "op3_mixing": _mixing_sql(),
+        "op11_ranked_search": _RANK_SQL,
+        "op12_merkle": _MERKLE_SQL,
+    }
 
 
 _EXACT_SQL = r"""
@@ -191,6 +249,107 @@ FROM t WINDOW same AS (PARTITION BY n)
 """
 
 
+_RANK_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+i AS (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM benchmark),
+wanted AS (SELECT DISTINCT i, item_id, unnest(terms) AS term FROM i),
+lengths AS (SELECT r, doc_id, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths),
+found AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY r, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * (SELECT docs FROM total) + 2)::DOUBLE
+                                    / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM found GROUP BY term),
+scores AS (
+  SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) //
+           (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN found USING (term) JOIN lengths USING (r), total
+  GROUP BY i, item_id, r, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS place
+  FROM scores WHERE score > 0)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""
+
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(
+    _FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")
+) + ")"
+_MERKLE_SQL = f"""
+WITH RECURSIVE
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, {_LEAF.format("n_chars")} AS leaf,
+         {_LEAF.format("(n_chars + 1)")} AS changed,
+         -- CRC-32 of the digits, bit by bit
+         xor(4294967295::BIGINT, list_reduce(
+           list_prepend(4294967295::BIGINT,
+             list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: list_reduce(
+             list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+             lambda s, z: xor(s >> 1, (s & 1) * 3988292384::BIGINT)))) AS crc
+  FROM documents),
+leaves AS (
+  SELECT r, doc_id, lang, leaf, CASE WHEN crc % 7 = 0 THEN changed ELSE leaf END AS shown,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM docs),
+tree AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS node FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY pos))
+  FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+subroots AS (
+  SELECT lang, level AS height, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos,
+         count(*) OVER () AS n
+  FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, pos, n, node FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY pos))
+  FROM top WHERE n > 1 GROUP BY level, pos // 2, n),
+climb AS (
+  SELECT r, lang, 0 AS level, pos, shown AS folded, '' AS proof FROM leaves
+  UNION ALL
+  SELECT c.r, c.lang, c.level + 1, c.pos // 2,
+         sha256(CASE WHEN c.pos % 2 = 0 THEN folded || coalesce(s.node, '')
+                     ELSE s.node || folded END),
+         proof || coalesce(s.node, '')
+  FROM climb AS c
+  JOIN tree AS own ON own.lang IS NOT DISTINCT FROM c.lang AND own.level = c.level
+                   AND own.pos = c.pos AND own.n > 1
+  LEFT JOIN tree AS s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level
+                      AND s.pos = xor(c.pos, 1)),
+climb_on AS (
+  SELECT c.r, 0 AS level, u.pos, folded, proof
+  FROM climb AS c JOIN subroots AS u ON u.lang IS NOT DISTINCT FROM c.lang AND u.height = c.level
+  UNION ALL
+  SELECT c.r, c.level + 1, c.pos // 2,
+         sha256(CASE WHEN c.pos % 2 = 0 THEN folded || coalesce(s.node, '')
+                     ELSE s.node || folded END),
+         proof || coalesce(s.node, '')
+  FROM climb_on AS c
+  JOIN top AS own ON own.level = c.level AND own.pos = c.pos AND own.n > 1
+  LEFT JOIN top AS s ON s.level = c.level AND s.pos = xor(c.pos, 1)),
+root AS (SELECT level AS height, node FROM top WHERE n = 1)
+SELECT l.doc_id, l.leaf, u.node AS subroot, root.node AS root, sha256(c.proof) AS proof_sha256,
+       c.folded AS folded_root, c.folded = root.node AS verified
+FROM leaves AS l
+JOIN subroots AS u ON u.lang IS NOT DISTINCT FROM l.lang
+CROSS JOIN root
+JOIN climb_on AS c ON c.r = l.r AND c.level = root.height
+"""
+
+
 def _mixing_sql() -> str:
     def weighted(margin: str) -> str:
         cases = "".join(f" WHEN '{k}' THEN {float(v)}" for k, v in MIX[margin].items())
