@@ -248,13 +248,15 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _training_data() -> list[ModuleType]:
-    """The query modules of the training-data pipeline, where that part is installed."""
-    try:
-        return [import_module(name) for name in ("tallybook.llm.queries", "corpus_pipeline")]
-    except ModuleNotFoundError as missing:
-        if missing.name not in ("tallybook.llm", "tallybook.llm.queries", "corpus_pipeline"):
-            raise
-        return []
+    """The query modules of the training-data pipeline, those that are installed."""
+    found = []
+    for name in ("tallybook.llm.queries", "corpus_pipeline"):
+        try:
+            found.append(import_module(name))
+        except ModuleNotFoundError as missing:
+            if missing.name not in ("tallybook.llm", "tallybook.llm.queries", "corpus_pipeline"):
+                raise
+    return found
 
 
 def ledger_queries() -> dict[str, Query]:

@@ -5,9 +5,11 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
+
+from driver_tables import TESTDATA  # noqa: E402
 
-TESTDATA = "/root/testdata"
 TABLES = ("orders", "customer")
 
 

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
-from conftest import TESTDATA
+from driver_tables import TESTDATA
 
 QUERIES = contract.ledger_queries()
 ORACLE = contract.ledger_oracle_sql()

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 import golden
-from conftest import TESTDATA
+from driver_tables import TESTDATA
 from tallybook.operators import balances
 from tallybook.operators.selection import select_category, select_transactions
 from tallybook.plans import reports

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from conftest import TESTDATA
+from driver_tables import TESTDATA
 from tallybook.functions.money import money_as_double
 from tallybook.operators import balances, dimensions, totals
 from tallybook.operators.selection import select_category, select_transactions
