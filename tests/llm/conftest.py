@@ -1,7 +1,7 @@
 import pytest
+from odd_texts import DOCUMENTS
 from pyspark.sql import SparkSession
 
-DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
 @pytest.fixture(scope="session")
@@ -16,9 +16,3 @@ def documents(spark: SparkSession):
         return spark.createDataFrame(rows, schema).repartition(partitions)
 
     return make
-
-
-ODD_TEXTS = [
-    None, "", " ", "\n\t", "a", "é", "漢字 テスト", "x" * 200_000, "word " * 50_000, "a\x00b",
-    "same text twice", "same text twice", "Same  Text\nTwice", "!!! ??? ...", "1234567890",
-]

@@ -1,0 +1,8 @@
+"""The schema of documents, and texts that are odd in one way or another."""
+
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+ODD_TEXTS = [
+    None, "", " ", "\n\t", "a", "é", "漢字 テスト", "x" * 200_000, "word " * 50_000, "a\x00b",
+    "same text twice", "same text twice", "Same  Text\nTwice", "!!! ??? ...", "1234567890",
+]

@@ -5,7 +5,7 @@ import random
 import re
 
 import pytest
-from conftest import ODD_TEXTS
+from odd_texts import ODD_TEXTS
 
 import tallybook.llm.decontamination as module
 from tallybook.llm.decontamination import benchmark_hits

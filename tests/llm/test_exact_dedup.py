@@ -5,7 +5,7 @@ import random
 import re
 
 import pytest
-from conftest import ODD_TEXTS
+from odd_texts import ODD_TEXTS
 from pyspark.sql import functions as F
 
 from tallybook.llm.exact_dedup import exact_duplicates, sha256

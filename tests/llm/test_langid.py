@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import ODD_TEXTS
+from odd_texts import ODD_TEXTS
 
 import tallybook.llm.langid as module
 from tallybook.llm.arrays import text_slices

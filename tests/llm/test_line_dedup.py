@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import ODD_TEXTS
+from odd_texts import ODD_TEXTS
 from pyspark.sql import functions as F
 
 from tallybook.llm.line_dedup import banded_distance, near_duplicate_lines

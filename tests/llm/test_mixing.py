@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import ODD_TEXTS
+from odd_texts import ODD_TEXTS
 from pyspark.sql import functions as F
 
 import tallybook.llm.mixing as module

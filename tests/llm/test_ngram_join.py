@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from conftest import ODD_TEXTS
+from odd_texts import ODD_TEXTS
 
 import tallybook.llm.ngram_join as module
 from tallybook.llm.components import connected_components

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import DOCUMENTS, ODD_TEXTS
+from odd_texts import DOCUMENTS, ODD_TEXTS
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract

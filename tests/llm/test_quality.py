@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import ODD_TEXTS
+from odd_texts import ODD_TEXTS
 
 import tallybook.llm.quality as module
 from tallybook.llm.arrays import text_slices

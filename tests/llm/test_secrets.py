@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from conftest import ODD_TEXTS
+from odd_texts import ODD_TEXTS
 
 from tallybook.llm.queries import op9_secrets
 from tallybook.llm.secrets import BASE_RULES, MORE_RULES, Rule, find_secrets, trigram_query

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import ODD_TEXTS
+from odd_texts import ODD_TEXTS
 
 from tallybook.llm.queries import shard_manifest
 from tallybook.llm.sharding import (
