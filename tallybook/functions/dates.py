@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from tallybook.schema import MONTH_CODES, MONTH_LABELS
 
 
+_PLAIN_DATE = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
+
+
 def year_text(date: Column) -> Column:
     """Characters 7-10 of the date text; selectors compare this literally."""
     return F.substring(date, 7, 4)
@@ -61,12 +64,17 @@ def normalized_date(date: Column) -> Column:
         "/", F.lpad(split_month(date), 2, "0"), F.lpad(split_day(date), 2, "0"), split_year(date)
     )
     return (
-        F.when(date.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), padded)
-        .when(date.isNull() | (F.trim(date) == ""), date)
+        F.when(date.rlike(_PLAIN_DATE), padded)
+        .when(is_plain_date(date), date)
         .otherwise(F.raise_error(F.concat(F.lit("not a date month/day/year: "), date)))
     )
 
 
+def is_plain_date(date: Column) -> Column:
+    """Whether the text can be padded, or is blank."""
+    return date.isNull() | (F.trim(date) == "") | date.rlike(_PLAIN_DATE)
+
+
 def ledger_date(date: Column) -> Column:
     """Real date, for ordering only; NULL where the text is not a date."""
     return F.try_to_date(date, "M/d/yyyy")

@@ -10,6 +10,13 @@ from tallybook.schema import MONEY
 def parse_money(text: Column, money: DecimalType = MONEY) -> Column:
     """Text to decimal: blank is missing, and any other text that is no number, or a number that
     the type cannot hold exactly, is an error."""
+    return F.when(is_money(text, money), F.trim(text).try_cast(money)).otherwise(
+        F.raise_error(F.concat(F.lit(f"no amount of type {money.simpleString()}: "), text))
+    )
+
+
+def is_money(text: Column, money: DecimalType = MONEY) -> Column:
+    """Whether the text is blank or a number that the type holds exactly."""
     trimmed = F.trim(text)
     number = trimmed.try_cast(money)
     # The cast rounds. Digits behind the scale must be zeros; a number with an exponent must be
@@ -20,9 +27,7 @@ def parse_money(text: Column, money: DecimalType = MONEY) -> Column:
     )
     exact = F.when(trimmed.rlike("[eE]"), same).otherwise(~trimmed.rlike(cut))
     fits = number.isNotNull() & exact
-    return F.when(fits | text.isNull() | (trimmed == ""), number).otherwise(
-        F.raise_error(F.concat(F.lit(f"no amount of type {money.simpleString()}: "), text))
-    )
+    return F.coalesce(fits, F.lit(False)) | text.isNull() | (trimmed == "")
 
 
 def magnitude(amount: Column) -> Column:

@@ -1,5 +1,6 @@
 """Reading and writing ledgers."""
 
+import gzip
 import json
 from decimal import Decimal
 
@@ -11,13 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 import golden
-from tallybook.functions.positions import after, position
+from tallybook.functions.positions import after, file_starts, position
 from tallybook.operators import balances, dimensions, totals
 from tallybook.operators.selection import select_category, select_transactions
 from tallybook.plans import reports
-from tallybook.plans.ingest import ingest
+from tallybook.plans.ingest import BadLines, ingest
 from tallybook.schema import LEDGER_COLUMNS, POSITION
-from tallybook.sources.exports import read_combined, read_exports, typed_ledger, union_all
+from tallybook.sources.exports import (
+    bad_lines,
+    read_combined,
+    read_exports,
+    typed_ledger,
+    union_all,
+)
 from tallybook.sources.sql import fetch, register
 from tallybook.sources.tables import read_table, write_combined, write_records, write_table
 
@@ -262,24 +269,113 @@ def test_appended_lines_come_after_those_of_the_table(spark, tmp_path):
 
 def test_positions_that_do_not_fit_raise(spark):
     one = spark.range(1)
-    assert one.select(position(4095, F.lit(8191), F.lit((1 << 38) - 1))).first()[0] == (1 << 63) - 1
+    top = 1 << 51
+
+    def place(batch, start, width, line):
+        columns = [F.lit(x).cast("bigint") for x in (start, width, line)]
+        return one.select(position(batch, *columns))
+
+    assert place(4095, top - 5, 5, 4).first()[0] == (1 << 63) - 1
     with pytest.raises(ValueError):
-        position(4096, F.lit(0), F.lit(0))
-    for file, line in ((8192, 0), (0, 1 << 38), (-1, 0), (None, 0)):
+        place(4096, 0, 1, 0)
+    for start, width, line in ((0, 5, 5), (0, 5, -1), (None, None, 0)):
         with pytest.raises(PySparkException, match="no place"):
-            one.select(position(0, F.lit(file).cast("bigint"), F.lit(line))).collect()
+            place(0, start, width, line).collect()
     with pytest.raises(PySparkException, match="OVERFLOW"):
-        one.select(after(position(4095, F.lit(0), F.lit(0)), 1)).collect()
+        one.select(after(position(4095, F.lit(0), F.lit(1), F.lit(0)), 1)).collect()
+
+
+def test_ranges_of_files_follow_each_other_and_too_many_bytes_raise():
+    assert file_starts([]) == []
+    assert file_starts([3, 1, 5]) == [0, 3, 4]
+    assert file_starts([1 << 50, 1 << 50]) == [0, 1 << 50]
+    with pytest.raises(ValueError, match="offsets"):
+        file_starts([1 << 50, 1 << 50, 1])
+
+
+def test_ten_thousand_files_are_ingested_in_the_order_of_their_names(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    for i in range(10_000):
+        (folder / f"f{i:05d}.csv").write_text(HEADER + row(Title=f"{i:05d}", Balance=f"{i}.00"))
+    ledger = ingest(spark, str(folder), str(tmp_path / "table"))
+    titles = [r.Title for r in ledger.orderBy(POSITION).select("Title").collect()]
+    assert titles == [f"{i:05d}" for i in range(10_000)]
+    january = balances.month_end_balance(ledger).where("Month = '01'").first()
+    assert january.EndBalance == Decimal("9999.00")
 
 
-def test_combined_files_of_other_headers_raise(spark, tmp_path):
-    golden.write(tmp_path / "c", a=HEADER + row())
+def test_many_lines_before_a_short_file_in_one_task(spark, tmp_path):
+    # One task reads the long file first; the lines of the short ones are numbered after its lines.
+    texts = {"b": HEADER + row(Title="b") * 3000, "a": HEADER + row(Title="a"), "c": HEADER + row(Title="c")}
+    rows = read_exports(spark, golden.write(tmp_path / "csv", **texts))
+    assert [r[1] for r in lines(rows)] == ["a", *["b"] * 3000, "c"]
+    assert rows.select(POSITION).distinct().count() == 3002
+
+
+def test_compressed_exports(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    for name in ("b", "a"):
+        text = HEADER + "".join(row(Title=f"{name}{i:05d}") for i in range(5000))
+        (tmp_path / "csv" / f"{name}.csv.gz").write_bytes(gzip.compress(text.encode()))
+    titles = [r[1] for r in lines(read_exports(spark, str(tmp_path / "csv")))]
+    assert titles == [f"{name}{i:05d}" for name in "ab" for i in range(5000)]
+
+
+def test_combined_files_go_by_their_own_headers(spark, tmp_path):
+    golden.write(tmp_path / "c", a=HEADER + row(Title="A") + row(Title="A2"))
     (tmp_path / "c" / "b.csv").write_text(
-        "Title,Date,Comment,MainCategory,Subcategory,Account,Balance,Amount\n"
-        "B,01/06/2018,,Food,Credit,A,8.00,-1.00\n"
+        "title,Extra,Date,Comment,MainCategory,Subcategory,Account,Balance,Amount\n"
+        "B,x,01/06/2018,,Food,Credit,A,8.00,-1.00\n"
+    )
+    (tmp_path / "c" / "c.csv").write_text("\n" + HEADER + row(Title="C"))
+    (tmp_path / "c" / "d.csv").write_text("")
+    found = lines(read_combined(spark, str(tmp_path / "c")))
+    assert [line[1] for line in found] == ["A", "A2", "B", "C"]
+    assert found[2] == ("01/06/2018", "B", "", "Food", "Credit", "A", "-1.00", "8.00")
+
+    for bad in ("Title,Date\nx,y\n", HEADER.replace("Title", "Date") + row()):
+        (tmp_path / "c" / "wrong.csv").write_text(bad)
+        with pytest.raises(ValueError, match="wrong.csv"):
+            read_combined(spark, str(tmp_path / "c"))
+
+
+def test_combined_files_without_a_line(spark, tmp_path):
+    golden.write(tmp_path / "c", a="", b="\n\n")
+    assert read_combined(spark, str(tmp_path / "c")).collect() == []
+
+
+def bad_folder(tmp_path):
+    return golden.write(
+        tmp_path / "csv",
+        a=HEADER + row() + "01/02/2018,short\n" + row(Amount='"1,234.50"', Balance="x"),
+        b=HEADER + row() + row(Date="2018-01-02") + "1,2,3,4,5,6,7,8,9\n",
     )
-    with pytest.raises(Py4JJavaError, match="header does not conform"):
-        typed_ledger(read_combined(spark, str(tmp_path / "c"))).collect()
+
+
+def test_all_bad_lines_are_found(spark, tmp_path):
+    folder = bad_folder(tmp_path)
+    found = bad_lines(spark, folder, normalize_dates=True).orderBy(POSITION, "Reason").collect()
+    assert [(r.File, r.Reason, r.Text) for r in found] == [
+        ("a.csv", "fields", "01/02/2018,short"),
+        ("a.csv", "Amount", "1,234.50"),
+        ("a.csv", "Balance", "x"),
+        ("b.csv", "Date", "2018-01-02"),
+        ("b.csv", "fields", "1,2,3,4,5,6,7,8,9"),
+    ]
+    assert bad_lines(spark, folder).where("Reason = 'Date'").count() == 0
+    good = golden.write(tmp_path / "good", a=HEADER + row(Amount="", Balance=" ") + row())
+    assert bad_lines(spark, good, normalize_dates=True).collect() == []
+
+
+def test_an_ingest_names_all_bad_lines_and_writes_nothing(spark, tmp_path):
+    folder = bad_folder(tmp_path)
+    with pytest.raises(BadLines, match="4 bad lines") as raised:
+        ingest(spark, folder, str(tmp_path / "table"))
+    assert raised.value.count == 4
+    assert raised.value.lines[0] == ("a.csv", "fields", "01/02/2018,short")
+    assert "b.csv: fields: 1,2,3,4,5,6,7,8,9" in str(raised.value)
+    assert not list((tmp_path / "table").glob("Year=*"))
 
 
 @pytest.mark.parametrize("text", ["-1.004", "10.005", "1.0001e1", "1e-30", "1.00000000000000000001", "1e40"])
