@@ -199,6 +199,11 @@ def _report_history_condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.history(months, category=CATEGORY, year=SHORT_YEAR)
 
 
+def _report_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = order_ledger(spark, sf_dir, SHORT_YEAR)
+    return reports.selection_reports(ledger, category=CATEGORY, year=SHORT_YEAR)
+
+
 def _report_breakdown(**selectors: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ledger = order_ledger(spark, sf_dir, SHORT_YEAR)
@@ -306,6 +311,7 @@ def ledger_queries() -> dict[str, Query]:
         "report_history": _report_history,
         "report_history_account": _report_history_account,
         "report_history_condensed": _report_history_condensed,
+        "report_selection": _report_selection,
         "report_breakdown_year": _report_breakdown(),
         "report_breakdown_account": _report_breakdown(account=ACCOUNT),
         "report_category_seasonality": _report_category_seasonality,
@@ -429,6 +435,24 @@ series AS (
   UNION ALL SELECT 'Monthly Savings', Month, sum(c) + sum(d) FROM grid GROUP BY Month)"""
 
 
+_FLOW_MONTHS = f""" flow_cells AS (
+  SELECT CASE Subcategory WHEN 'Credit' THEN 'Expense' ELSE 'Income' END AS flow, MainCategory,
+         {_M} AS Month, sum(Amount) AS s
+  FROM ledger WHERE {_IN_SHORT} AND Subcategory IN ('Credit', 'Debit') GROUP BY ALL),
+flow_keys AS (SELECT DISTINCT flow, MainCategory FROM flow_cells),
+flow_grid AS (
+  SELECT flow_keys.flow AS flow, flow_keys.MainCategory AS Series, months.Month AS Month,
+         coalesce(s, 0) AS s
+  FROM flow_keys CROSS JOIN months
+  LEFT JOIN flow_cells ON flow_cells.flow = flow_keys.flow AND flow_cells.Month = months.Month
+                       AND flow_cells.MainCategory = flow_keys.MainCategory)"""
+_SELECTION = """
+SELECT 'History' AS Report, Series, Month, CAST(v AS DOUBLE) AS Value FROM series
+UNION ALL SELECT flow || ' Breakdown', Series, Month, CAST(s AS DOUBLE) FROM flow_grid
+UNION ALL SELECT flow || ' Share', Series, '00', CAST(abs(sum(s)) AS DOUBLE)
+FROM flow_grid GROUP BY flow, Series"""
+
+
 def _category_month_sql(flow: str) -> str:
     return _sql(
         "SELECT keys.MainCategory AS MainCategory, months.Month AS Month,"
@@ -602,6 +626,7 @@ def ledger_oracle_sql() -> dict[str, str]:
             f"c_mktsegment = '{ACCOUNT}' AND o_orderpriority = '{CATEGORY}'"
         ),
         "report_history_condensed": _HISTORY_CONDENSED,
+        "report_selection": _sql(_SELECTION, _HISTORY, _FLOW_MONTHS),
         "report_breakdown_year": _BREAKDOWN_YEAR,
         "report_breakdown_account": _closing_sql(
             f"c_mktsegment = '{ACCOUNT}' AND o_orderstatus = 'F'"

@@ -40,6 +40,15 @@ def of_batch(batch: int) -> Column:
     return F.col(POSITION).between(_start(batch), _start(batch) + (1 << OFFSET_BITS) - 1)
 
 
+def first_of_batch(batch: int) -> int:
+    """The least position of a batch."""
+    return _start(batch)
+
+
+def batch_of(value: int) -> int:
+    return value >> OFFSET_BITS
+
+
 def in_batches(column: Column, batches: int) -> Column:
     """Note along with the position column how many batches it may hold."""
     return column.alias(POSITION, metadata={_BATCHES: batches})
@@ -51,7 +60,7 @@ def batches_of(ledger: DataFrame) -> int:
     if noted is not None:
         return noted
     last = ledger.agg(F.max(POSITION)).first()[0]
-    return 0 if last is None else (last >> OFFSET_BITS) + 1
+    return 0 if last is None else batch_of(last) + 1
 
 
 def after(column: Column, batches: int) -> Column:

@@ -38,13 +38,13 @@ def account_month_balance(selection: DataFrame, order: Order = "ingest") -> Data
 
 def account_month_flows(selection: DataFrame) -> DataFrame:
     """Monthly sums of credits and of debits per account."""
-    flows = {name: F.sum(amount) for name, amount in _flows().items()}
+    flows = {name: F.sum(amount) for name, amount in flow_amounts().items()}
     return twelve_months(with_month(selection), ["Account"], flows)
 
 
 def net_worth_monthly(selection: DataFrame, order: Order = "ingest") -> DataFrame:
     """Across accounts, per month: month-end balances, credits, debits and what is left of them."""
-    accounts = _closing(selection, ["Account"], order, sums=_flows())
+    accounts = _closing(selection, ["Account"], order, sums=flow_amounts())
     return _monthly(accounts, [], ["EndBalance", "Credit", "Debit"]).selectExpr(
         "Month",
         "EndBalance AS NetWorth",
@@ -62,16 +62,8 @@ def account_history(
     Every account of the selection has a series; the category narrows only what is counted in it.
     """
     keep = None if category == ALL else F.col("MainCategory") == category
-    accounts = _closing(selection, ["Account"], order, keep, _flows(keep))
-    # The kind keeps an account called like a total apart from that total.
-    series = f"""inline(array(
-        struct(0 AS _kind, Account AS Series, EndBalance AS Value),
-        struct(1 AS _kind, '{NET_WORTH}' AS Series, EndBalance AS Value),
-        struct(2 AS _kind, '{EXPENSES}' AS Series, Credit AS Value),
-        struct(3 AS _kind, '{INCOMES}' AS Series, Debit AS Value),
-        struct(4 AS _kind, '{MONTHLY_SAVINGS}' AS Series, Credit AS Value),
-        struct(4 AS _kind, '{MONTHLY_SAVINGS}' AS Series, Debit AS Value)))"""
-    spread = accounts.selectExpr(MONTH_KEY, series)
+    accounts = _closing(selection, ["Account"], order, keep, flow_amounts(keep))
+    spread = accounts.selectExpr(MONTH_KEY, f"inline({account_series()})")
     return _monthly(spread, ["_kind", "Series"], ["Value"]).drop("_kind")
 
 
@@ -79,7 +71,29 @@ def _monthly(groups: DataFrame, keys: list[str], measures: list[str]) -> DataFra
     return twelve_months(groups, keys, {m: F.sum(m) for m in measures})
 
 
-def _flows(keep: Column | None = None) -> dict[str, Column]:
+def account_series(money: str | None = None, *more: str) -> str:
+    """The series that an account's month counts in: its own, and the four across accounts.
+
+    As SQL for an array of structs. The kind keeps an account called like a total apart from it.
+    """
+    series = (
+        (0, "Account", "EndBalance"),
+        (1, f"'{NET_WORTH}'", "EndBalance"),
+        (2, f"'{EXPENSES}'", "Credit"),
+        (3, f"'{INCOMES}'", "Debit"),
+        (4, f"'{MONTHLY_SAVINGS}'", "Credit"),
+        (4, f"'{MONTHLY_SAVINGS}'", "Debit"),
+    )
+    structs = []
+    for kind, name, value in series:
+        value = f"CAST({value} AS {money})" if money else value
+        cells = [*more, f"{kind} AS _kind", f"{name} AS Series", f"{value} AS Value"]
+        structs.append(f"struct({', '.join(cells)})")
+    return f"array({', '.join(structs)})"
+
+
+def flow_amounts(keep: Column | None = None) -> dict[str, Column]:
+    """Amounts of credits and of debits, of the postings that are kept."""
     flow = F.col("Subcategory")
     credit, debit = flow == EXPENSE, flow == INCOME
     if keep is not None:

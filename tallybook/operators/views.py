@@ -2,11 +2,18 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallybook.functions import dates
-from tallybook.schema import ALL, ALL_MONTHS, DEFAULT_SEARCH_CATEGORY, EXPENSE, INCOME
+from tallybook.schema import (
+    ALL,
+    ALL_MONTHS,
+    DEFAULT_SEARCH_CATEGORY,
+    EXPENSE,
+    INCOME,
+    POSITION,
+)
 from tallybook.operators.selection import select_category, select_transactions
 
 _TAIL = ("Account", "Title", "MainCategory", "Amount", "Balance")
@@ -18,8 +25,9 @@ def transactions(
     category: str = ALL,
     year: str | None = None,
     month: str = ALL_MONTHS,
+    positions: bool = False,
 ) -> DataFrame:
-    return _dated(select_transactions(ledger, account, category, year, month), _TAIL)
+    return _dated(select_transactions(ledger, account, category, year, month), _TAIL, positions)
 
 
 def expenses(
@@ -28,8 +36,9 @@ def expenses(
     category: str = ALL,
     year: str | None = None,
     month: str = ALL_MONTHS,
+    positions: bool = False,
 ) -> DataFrame:
-    return _dated(select_transactions(ledger, account, category, year, month, EXPENSE), _TAIL)
+    return _dated(select_transactions(ledger, account, category, year, month, EXPENSE), _TAIL, positions)
 
 
 def income(
@@ -38,13 +47,16 @@ def income(
     category: str = ALL,
     year: str | None = None,
     month: str = ALL_MONTHS,
+    positions: bool = False,
 ) -> DataFrame:
-    return _dated(select_transactions(ledger, account, category, year, month, INCOME), _TAIL)
+    return _dated(select_transactions(ledger, account, category, year, month, INCOME), _TAIL, positions)
 
 
-def category_rows(ledger: DataFrame, category: str = DEFAULT_SEARCH_CATEGORY) -> DataFrame:
+def category_rows(
+    ledger: DataFrame, category: str = DEFAULT_SEARCH_CATEGORY, positions: bool = False
+) -> DataFrame:
     """All years of one category, without the balance."""
-    return _dated(select_category(ledger, category), _TAIL[:-1])
+    return _dated(select_category(ledger, category), _TAIL[:-1], positions)
 
 
 def transactions_as_text(
@@ -82,17 +94,60 @@ def arrange(
     return view if limit is None else view.limit(limit)
 
 
+def page(
+    view: DataFrame,
+    order_by: Sequence[str],
+    size: int,
+    after: Sequence[object] | None = None,
+) -> DataFrame:
+    """The first rows of a view in that order, or those that follow where a page ended.
+
+    ``order_by`` names columns, ``-`` before a name turns it round; equal rows go by position, which
+    the view must have. As in any Spark order, missing values come first, and last where it is
+    turned round. ``after`` is what ``page_end`` gives for the last page. Every page reads no more
+    than its rows into the result, however far down it is.
+    """
+    keys = _page_keys(order_by)
+    if after is not None:
+        if len(after) != len(keys):
+            raise ValueError(f"a page ends with {len(keys)} values, these are {len(after)}")
+        same, beyond = F.lit(True), F.lit(False)
+        for (name, down), value in zip(keys, after):
+            column = F.col(name)
+            if value is None:
+                further = F.lit(False) if down else column.isNotNull()
+            else:
+                further = (column < value) | column.isNull() if down else column > value
+            beyond |= same & further
+            same &= column.eqNullSafe(F.lit(value))
+        view = view.where(beyond)
+    order = [F.col(name).desc() if down else F.col(name).asc() for name, down in keys]
+    return view.orderBy(*order).limit(size)
+
+
+def page_end(rows: Sequence[Row], order_by: Sequence[str]) -> tuple | None:
+    """Where a page ended, to go on from; nothing for a page without rows."""
+    return tuple(rows[-1][name] for name, _ in _page_keys(order_by)) if rows else None
+
+
+def _page_keys(order_by: Sequence[str]) -> list[tuple[str, bool]]:
+    keys = [(name.removeprefix("-"), name.startswith("-")) for name in order_by]
+    return [*keys, (POSITION, False)]
+
+
 def records(view: DataFrame) -> DataFrame:
     """One JSON object per row, missing cells as null."""
     cells = F.struct(*[F.col(c) for c in view.columns])
     return view.select(F.to_json(cells, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def _dated(selection: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _dated(selection: DataFrame, columns: Sequence[str], positions: bool = False) -> DataFrame:
+    """The columns of a view; with positions, it can be shown in pages."""
     date = F.col("Date")
     return selection.select(
         dates.split_month(date).alias("Month"),
         dates.split_day(date).alias("Day"),
         dates.split_year(date).alias("Year"),
         *columns,
+        *([POSITION] if positions else []),
     )

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.money import money_as_double
-from tallybook.operators import balances, totals
+from tallybook.operators import balances, combined, totals
 from tallybook.operators.balances import Order
 from tallybook.operators.selection import select_category, select_transactions
 from tallybook.schema import ALL, ALL_MONTHS, DEFAULT_SEARCH_CATEGORY, END_OF_MONTH
@@ -62,6 +62,23 @@ def flow_breakdown(
     return _end_of_month(selection, order)
 
 
+def selection_reports(
+    ledger: DataFrame,
+    account: str = ALL,
+    category: str = ALL,
+    year: str | None = None,
+    month: str = ALL_MONTHS,
+) -> DataFrame:
+    """All reports that one change of a selector asks for (Report, Series, Month, Value).
+
+    The rows are those of ``history``, and of ``flow_share`` and ``flow_breakdown`` of both flows;
+    sizes of categories stand under the chosen month, ``00`` for the whole year. Which line of a
+    month is the last goes by the order of the export.
+    """
+    selection = select_transactions(ledger, account, category, year, month)
+    return combined.selection_reports(selection, account, category, month)
+
+
 def category_seasonality(
     ledger: DataFrame, category: str = DEFAULT_SEARCH_CATEGORY
 ) -> DataFrame:

@@ -57,6 +57,11 @@ MONTHLY_SAVINGS = "Monthly Savings"
 MONTHLY_AVERAGE = "Monthly Avg"
 MEAN_OF_YEARS = "Mean of All Years"
 
+# Names of the reports where all of them are in one table.
+HISTORY = "History"
+EXPENSE_SHARE, INCOME_SHARE = "Expense Share", "Income Share"
+EXPENSE_BREAKDOWN, INCOME_BREAKDOWN = "Expense Breakdown", "Income Breakdown"
+
 # Position of a row among all ingested lines, see functions.positions.
 POSITION = "_position"
 

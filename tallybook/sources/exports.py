@@ -21,7 +21,7 @@ from tallybook.schema import (
     TEXT_COLUMNS,
     table_schema,
 )
-from tallybook.sources.files import Listing, first_line, plain_files
+from tallybook.sources.files import Listing, first_line, name_in_uri, plain_files
 
 # Names of files of about 100 bytes each; with more of them Spark decides how to join.
 BROADCAST_FILES = 50_000
@@ -203,10 +203,8 @@ def _positioned(placed: DataFrame, listing: Listing, batch: int, *more: str) ->
     """Put the position in place of file and line: batch, start of the file's range, place there."""
     spark = placed.sparkSession
     widths = _widths(spark, listing)
-    # Spark tells names as they are in a URI.
     ranges = [
-        (spark._jvm.org.apache.hadoop.fs.Path(file.path).toUri().getRawPath().rpartition("/")[2],
-         start, width)
+        (name_in_uri(spark, file), start, width)
         for file, start, width in zip(listing.files, file_starts(widths), widths)
     ]
     names = spark.createDataFrame(ranges, "_name string, _start bigint, _width bigint")

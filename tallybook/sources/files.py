@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 # What Spark writes beside data, and what its readers pass over.
 _CHECKSUM = re.compile(r"^\..*\.crc$")
 _PASSED_OVER = re.compile(r"^_(?!metadata|common_metadata)[^=]*$|^\.|\._COPYING_$")
+_SAME_IN_URI = re.compile(r"^[A-Za-z0-9._-]+$")
 _COMPRESSED = re.compile(r"\.(gz|deflate|bz2|zst|lz4|snappy|xz)$", re.IGNORECASE)
 
 
@@ -62,6 +63,14 @@ def plain_files(spark: SparkSession, path: str) -> Listing:
     return Listing(tuple(files[name] for name in sorted(files)), path if alone else None)
 
 
+def name_in_uri(spark: SparkSession, file: PlainFile) -> str:
+    """The name as Spark tells it of a row: escaped as in a URI."""
+    if _SAME_IN_URI.search(file.name):
+        return file.name
+    uri = spark._jvm.org.apache.hadoop.fs.Path(file.path).toUri()
+    return uri.getRawPath().rpartition("/")[2]
+
+
 def first_line(spark: SparkSession, path: str) -> str | None:
     """The first line of a file that is not blank, with all lines that its quotes go over."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

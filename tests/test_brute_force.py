@@ -255,3 +255,27 @@ def test_lists(books):
         {r["MainCategory"] for r in rows} | {"All"}
     )
     assert listed(dimensions.years(ledger)) == sorted({r["Date"][6:10] for r in rows})
+
+
+@pytest.mark.parametrize("account", ["All", "Checking", "nobody"])
+@pytest.mark.parametrize("category", ["All", "Food"])
+@pytest.mark.parametrize("month", ["00", "03"])
+def test_all_reports_of_a_selection_at_once(books, account, category, month):
+    """One table of all reports has what the reports have one by one."""
+    _, ledger = books
+    choice = dict(account=account, category=category, year="2018", month=month)
+    expected = [("History", *r) for r in reports.history(ledger, **choice).collect()]
+    for flow, name in ((EXPENSE, "Expense"), (INCOME, "Income")):
+        share = reports.flow_share(ledger, flow, **choice).collect()
+        expected += [(f"{name} Share", r.MainCategory, month, r.CategorySum) for r in share]
+        detail = reports.flow_breakdown(ledger, flow, **choice)
+        if month == "00":
+            expected += [(f"{name} Breakdown", *r) for r in detail.collect()]
+        else:
+            expected += [
+                (f"{name} Breakdown", r.CategoryName, month, r.CategorySum) for r in detail.collect()
+            ]
+    found = reports.selection_reports(ledger, **choice).collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+    if account == "nobody":
+        assert not found

@@ -1,15 +1,17 @@
 """Plans: what is read, what is shuffled, and what must not appear."""
 
 import re
+from decimal import Decimal
 
 import pytest
 
 import __spark_entry__ as contract
 import golden
 from driver_tables import TESTDATA
-from tallybook.operators import balances
+from tallybook.operators import balances, dimensions, views
 from tallybook.operators.selection import select_category, select_transactions
 from tallybook.plans import reports
+from tallybook.plans.derived import refresh_dictionary, table_years
 from tallybook.plans.ingest import ingest
 from tallybook.sources.exports import read_exports, typed_ledger
 
@@ -143,3 +145,30 @@ def test_files_of_sub_folders_are_not_listed(spark, tmp_path):
     golden.write(tmp_path / "csv" / "old", deep="a,b\n1,2\n" * 1000)
     ledger = select_category(typed_ledger(read_exports(spark, folder)))
     assert ledger.count() == 4
+
+
+def test_all_reports_of_a_selection_read_and_exchange_the_postings_once(spark, stored):
+    text = plan(reports.selection_reports(stored, year="2018"))
+    assert text.count("FileScan parquet") == 1 and text.count("Expand") == 1
+    # The exchange of the postings' groups, and the two of the twelve months.
+    assert len(re.findall(r"\bExchange\b", text)) == 3
+    for operator in ("Window", "SortAggregate", "Sort ["):
+        assert operator not in text
+
+
+def test_pages_are_the_top_rows_behind_the_last_page(stored):
+    view = views.transactions(stored, "Checking", year="2018", positions=True)
+    for after in (None, (Decimal("20.00"), 5)):
+        text = plan(views.page(view, ["-Amount"], 3, after))
+        assert "TakeOrderedAndProject(limit=3" in text and "Exchange range" not in text
+    assert "Amount" in re.search(r"PushedFilters: \[(.*?)\], ReadSchema", text).group(1)
+
+
+def test_lists_do_not_read_the_ledger(spark, stored, tmp_path_factory):
+    root = tmp_path_factory.mktemp("lists")
+    path = stored.inputFiles()[0].split("/Year=")[0]
+    listed = refresh_dictionary(spark, path, str(root / "dictionary"))
+    for frame in (dimensions.accounts(listed), dimensions.account_categories(listed, "Checking")):
+        scans = re.findall(r"FileScan.*", plan(frame))
+        assert scans and all("/dictionary" in scan for scan in scans)
+    assert "FileScan" not in plan(table_years(spark, path))
