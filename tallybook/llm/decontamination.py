@@ -23,8 +23,8 @@ from tallybook.llm.arrays import (
     gram_hashes,
     mix,
     runs,
-    span_hashes,
     text_slices,
+    word_hashes,
 )
 from tallybook.llm.storage import stored
 
@@ -146,7 +146,9 @@ def _prints(
     items, of which those with less than a window of words have one fingerprint.
     """
     starts, ends = runs(texts.data, texts.offsets, ALPHANUMERIC)
-    words = span_hashes(texts.data, starts, ends)
+    words = word_hashes(texts.data, starts, ends)
+    # Words that are compared one by one have a hash of their own, independent of the fingerprints.
+    compared = word_hashes(texts.data, starts, ends, seed=1)
     first = np.searchsorted(starts, texts.offsets)  # of each text, and the end
     counts = np.diff(first)
     owner = np.repeat(np.arange(len(texts)), counts)
@@ -171,7 +173,7 @@ def _prints(
     low, high = first[owner[at]][:, None], first[owner[at] + 1][:, None]
     inside = (places >= low) & (places < high) & (whole | (np.arange(_CONTEXT) < sizes[:, None]))
     around = np.zeros(places.shape, np.uint64)
-    around[inside] = words[places[inside]] | np.uint64(1)
+    around[inside] = compared[places[inside]] | np.uint64(1)
     buffer = pa.py_buffer(np.ascontiguousarray(around))
     ends_at = (np.arange(len(at) + 1) * _CONTEXT * 8).astype(np.int32)
     rows = pa.StructArray.from_arrays(

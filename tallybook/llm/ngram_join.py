@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.arrays import NON_SPACE, Texts, gram_hashes, mix, runs, span_hashes, text_slices
+from tallybook.llm.arrays import NON_SPACE, Texts, gram_hashes, mix, runs, text_slices, word_hashes
 from tallybook.llm.components import connected_components
 from tallybook.llm.keys import join_counted, maybe_among
 from tallybook.llm.storage import stored
@@ -107,10 +107,10 @@ def similar_documents(
 # --- sets ------------------------------------------------------------------------------------
 
 
-def _sets(texts: Texts, words: int) -> Iterator[np.ndarray]:
-    """The n-grams of each text, with repeats."""
+def _sets(texts: Texts, words: int, seed: int = 0) -> Iterator[np.ndarray]:
+    """The n-grams of each text, with repeats, in the order of the text whatever the seed is."""
     starts, ends = runs(texts.data, texts.offsets, NON_SPACE)
-    hashes = span_hashes(texts.data, starts, ends)
+    hashes = word_hashes(texts.data, starts, ends, seed)
     cuts = np.searchsorted(starts, texts.offsets)
     grams = gram_hashes(hashes, words)
     for begin, after in zip(cuts[:-1], cuts[1:]):
@@ -124,6 +124,15 @@ def _sets(texts: Texts, words: int) -> Iterator[np.ndarray]:
             yield grams[:0]
 
 
+def _identified(
+    texts: Texts, words: int
+) -> Iterator[tuple[np.ndarray, tuple[np.uint64, np.uint64]]]:
+    """Per text its set, and two sums over it that are made of independent hashes."""
+    for grams, others in zip(_sets(texts, words), _sets(texts, words, seed=1)):
+        grams, places = np.unique(grams, return_index=True)
+        yield grams, (grams.sum(dtype=np.uint64), others[places].sum(dtype=np.uint64))
+
+
 def _sketch(docs: DataFrame, words: int) -> np.ndarray:
     """Counts of n-grams by the low bits of their hash, over all documents: 8 MB."""
     size = 1 << SKETCH_BITS
@@ -172,15 +181,14 @@ def _prefixes(docs: DataFrame, words: int, percent: int, sketch) -> DataFrame:
         for batch in batches:
             for texts in text_slices(batch.column("text")):
                 sizes, first, second, prefixes = [], [], [], []
-                for grams in _sets(texts, words):
-                    grams = np.unique(grams)
+                for grams, sums in _identified(texts, words):
                     n = len(grams)
                     kept = n - -(-percent * n // 100) + 1 if n else 0
                     often = counts[(grams & mask).astype(np.int64)]
                     prefixes.append(grams[np.lexsort((grams, often))[:kept]].view(np.int64))
                     sizes.append(n)
-                    first.append(grams.sum(dtype=np.uint64))
-                    second.append(mix(grams).sum(dtype=np.uint64))
+                    first.append(sums[0])
+                    second.append(sums[1])
                 lengths = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 flat = np.concatenate([*prefixes, np.zeros(0, np.int64)])
                 yield pa.RecordBatch.from_arrays(
@@ -205,9 +213,11 @@ def _full_sets(docs: DataFrame, words: int, members: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in text_slices(batch.column("text")):
-                sets = [s for s in map(np.unique, _sets(texts, words)) if len(s)]
-                first = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
-                second = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+                found = [(s, sums) for s, sums in _identified(texts, words) if len(s)]
+                sets = [s for s, _ in found]
+                first, second = (
+                    np.array([sums[i] for _, sums in found], np.uint64) for i in range(2)
+                )
                 high = [(s >> np.uint64(59)).astype(np.int64) for s in sets]
                 bands = [np.bincount(h, minlength=BANDS) for h in high]
                 lengths = np.cumsum([0, *map(len, sets)]).astype(np.int32)
