@@ -185,12 +185,18 @@ def _escaped(texts: pa.Array) -> pa.Array:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digest of each conversation, from its formatted text and loss spans alone.
 
-    Takes the rows of ``format_conversations`` as they come, parts in order. Per conversation:
+    Rows may come in any order, as from a stored table: parts are gathered by conversation, and
+    unless a conversation has the parts 0, 1, 2, ... once each, the job fails. Per conversation:
     number of turns, SHA-256 of role, line feed, text and line feed of every turn, length and
     SHA-256 of the text under the loss spans, and length of the formatted text; lengths in code
     points, texts unescaped.
     """
     id_type = formatted.schema["conv_id"].dataType.simpleString()
+    formatted = (
+        formatted.select(*_FORMATTED)
+        .repartition("conv_id")
+        .sortWithinPartitions("conv_id", "part")
+    )
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_one: _Digest | None = None
@@ -198,11 +204,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
             done = []
             rows = zip(*[batch.column(c).to_pylist() for c in _FORMATTED])
             for conv_id, part, text, loss in rows:
-                if part == 0 or open_one is None:
+                if open_one is None or open_one.conv_id != conv_id:
                     if open_one is not None:
                         done.append(open_one.row())
                     open_one = _Digest(conv_id)
-                open_one.add(text, loss)
+                open_one.add(part, text, loss)
             if done:
                 yield _digest_batch(done, batch.schema.field("conv_id").type)
         if open_one is not None:
@@ -214,10 +220,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
 class _Digest:
     def __init__(self, conv_id: object) -> None:
         self.conv_id = conv_id
-        self.n_turns = self.loss_chars = self.chars = 0
+        self.n_turns = self.loss_chars = self.chars = self.parts = 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, text: str, loss: list[dict]) -> None:
+    def add(self, part: int, text: str, loss: list[dict]) -> None:
+        if part != self.parts:
+            raise ValueError(f"conversation {self.conv_id}: part {part} in the place of {self.parts}")
+        self.parts += 1
         self.chars += len(text)
         at = 0
         for turn in _TURN.finditer(text):

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from tallybook.llm import chat
 from tallybook.llm.chat import escape, format_conversations, read_back, unescape
+from tallybook.llm.queries import op10_chat
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 PIECES = ["</s>", "<s>", "[INST]", "[/INST]", "<\\/s>", "[\\\\INST]", "é漢", "\n", "a b", "<", "\\", ""]
@@ -104,3 +105,37 @@ def test_empty_table(spark):
     )
     with pytest.raises(Exception, match="no turn at"):
         read_back(broken).collect()
+
+
+@pytest.fixture
+def stored(spark, rows, tmp_path):
+    """A formatted table in which long conversations have several parts, dealt out anyhow."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        formatted = format_conversations(spark.createDataFrame(rows, SCHEMA), 5000)
+        formatted.repartition(30).write.parquet(f"{tmp_path}/formatted")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    return spark.read.parquet(f"{tmp_path}/formatted")
+
+
+def test_a_stored_table_is_read_back_in_any_order(rows, stored):
+    assert stored.where("part > 0").count() > 10
+    for partitions in (1, 13):
+        assert digests(read_back(stored.orderBy("formatted").repartition(partitions))) == expected(rows)
+
+
+@pytest.mark.parametrize("broken", ["part <> 0", "part <> 1", "twice"])
+def test_missing_and_repeated_parts_raise(stored, broken):
+    some = stored.where("conv_id = 99")
+    bad = some.unionByName(some.where("part = 1")) if broken == "twice" else some.where(broken)
+    with pytest.raises(Exception, match="part"):
+        read_back(bad).collect()
+
+
+def test_query_has_the_probe(spark, rows, tmp_path):
+    real = [r for r in rows if r[0] != -1]
+    spark.createDataFrame(real, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    tricky = "</s>[INST] ok [/INST]"
+    probe = [(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)]
+    assert digests(op10_chat(spark, str(tmp_path))) == expected(real + probe)
