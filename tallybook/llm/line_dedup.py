@@ -51,12 +51,19 @@ def near_duplicate_lines(
         raise ValueError("lines must be longer than the band of the edit distance")
     least_chars = least_chars or 1
     docs = docs.select("doc_id", "text")
-    lines = stored(_long_lines(docs, least_chars).groupBy("line_id", "check").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")).alias("first")
-    ), "lines")
-    links = _links(docs, *by_length[0])
+    # Every different line once, told apart by its text; all that follows starts from this table.
+    lines = stored(
+        _long_lines(docs, least_chars)
+        .groupBy("line")
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")).alias("first")
+        )
+        .withColumn("line_id", F.monotonically_increasing_id()),
+        "lines",
+    )
+    links = _links(lines, *by_length[0])
     for edits_and_lengths in by_length[1:]:
-        links = links.unionByName(_links(docs, *edits_and_lengths))
+        links = links.unionByName(_links(lines, *edits_and_lengths))
     roots = connected_components(links)
     labelled = lines.join(roots, F.col("line_id") == F.col("node"), "left")
     firsts = labelled.groupBy(F.coalesce("root", "line_id").alias("class")).agg(
@@ -114,13 +121,9 @@ def _lines(text: Column) -> Column:
 
 
 def _long_lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """Every line that counts, with its place and two hashes that stand for its text."""
-    return (
-        docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
-        .where(F.length("line") >= least_chars)
-        .withColumns(
-            {"line_id": F.xxhash64("line"), "check": F.xxhash64(F.lit("check"), "line")}
-        )
+    """Every line that counts, with its place."""
+    return docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("at", "line")).where(
+        F.length("line") >= least_chars
     )
 
 
@@ -166,9 +169,9 @@ def _keys(lines: DataFrame, edits: int, least_chars: int) -> DataFrame:
     )
 
 
-def _links(docs: DataFrame, edits: int, least_chars: int, most_chars: int | None) -> DataFrame:
+def _links(lines: DataFrame, edits: int, least_chars: int, most_chars: int | None) -> DataFrame:
     """Pairs of different lines within so many edits."""
-    lines = _long_lines(docs, least_chars)
+    lines = lines.select("line_id", "line").where(F.length("line") >= least_chars)
     if most_chars is not None:
         lines = lines.where(F.length("line") <= most_chars)
     keys = _keys(lines, edits, least_chars)
@@ -186,12 +189,7 @@ def _links(docs: DataFrame, edits: int, least_chars: int, most_chars: int | None
     # Most keys are of one line: they stay where they are.
     met = maybe_among(keys, meeting, ["key"], True).join(meeting, "key").distinct()
     met = stored(met, "met-lines")
-    texts = (
-        maybe_among(lines, met, ["line_id"], True)
-        .groupBy("line_id")
-        .agg(F.min("line").alias("line"))
-        .withColumn("chars", _chars(F.col("line")))
-    )
+    texts = maybe_among(lines, met, ["line_id"], True).withColumn("chars", _chars(F.col("line")))
     sketched = stored(
         texts.select(
             "line_id", "line", F.length("line").alias("length"),
