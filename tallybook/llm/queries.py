@@ -362,7 +362,7 @@ def _mixing_sql() -> str:
          CASE WHEN regexp_matches(text, '[$%&*#]{3}') THEN 'symbols'
               WHEN contains(text, '!!') THEN 'shouting' WHEN contains(text, ' | ') THEN 'list'
               WHEN regexp_matches(text, '[0-9]') THEN 'figures' ELSE 'prose' END AS topic,
-         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 AS draw
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 AS draw
   FROM documents)""",
         """cells AS (
   SELECT source, lang, topic, sum(tokens)::DOUBLE AS own,
@@ -376,10 +376,17 @@ def _mixing_sql() -> str:
             f"""own_{margin} AS (
   SELECT {margin}, sum(weight) AS own, {weighted(margin)} AS given FROM cells GROUP BY {margin})"""
         )
+        # Values without a weight share the rest, or keep their own share where nothing is left.
+        shared = (
+            f"coalesce(given * (1 - free) / listed, own)"
+            if rest < mixing._NOTHING_LEFT
+            else f"coalesce(given, {rest} * own / free)"
+        )
         steps.append(
             f"""by_{margin} AS (
-  SELECT {margin}, coalesce(given, greatest({rest}, 0) * own
-         / sum(CASE WHEN given IS NULL THEN own END) OVER ()) AS share FROM own_{margin})"""
+  SELECT {margin}, CASE WHEN free > 0 THEN {shared} ELSE given END AS share FROM (
+    SELECT *, sum(CASE WHEN given IS NULL THEN own END) OVER () AS free,
+           sum(given) OVER () AS listed FROM own_{margin}))"""
         )
     state = "cells"
     for number in range(mixing.ROUNDS):

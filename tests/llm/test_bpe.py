@@ -1,0 +1,114 @@
+"""Joined tokens against those of the tokenizers library over whole texts."""
+
+import hashlib
+import random
+
+import pytest
+from odd_texts import DOCUMENTS, ODD_TEXTS
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tallybook.llm import bpe
+from tallybook.llm.queries import op13_bpe
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+FILE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = [
+    "a", "b", "ab", "the", " ", "  ", "\n", "'", "'s", "'re", "r", "e", "é", "😀", "1", "23", "!", "\t",
+    "<|endoftext|>", "<|endof", "text|>", "中", "\u00a0", "\u0301",
+]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(FILE)
+
+
+@pytest.fixture(scope="module")
+def coder():
+    return bpe.Coder(bpe._read(FILE))
+
+
+def tokens(library, text):
+    return library.encode(text, add_special_tokens=False).ids
+
+
+def random_text(rnd):
+    some = rnd.sample(PIECES, rnd.randint(1, len(PIECES)))
+    if rnd.random() < 0.4:  # long words and long blanks
+        return "".join(rnd.choice(some) * rnd.randint(1, 500) for _ in range(rnd.randint(1, 6)))
+    return "".join(rnd.choice(some) for _ in range(rnd.randint(0, 300)))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_pieces_joined_anywhere_are_the_whole(library, coder, seed):
+    rnd = random.Random(seed)
+    for _ in range(25):
+        text = random_text(rnd)
+        size = max(rnd.choice([1, 2, 3, 5, 13, 100, 1000]), len(text) // 300 + 1)
+        pieces = coder.cuts(text, size)
+        assert "".join(pieces) == text
+        found = coder.join_all([coder.encode_piece(p) for p in pieces]).ids.tolist() if text else []
+        assert found == tokens(library, text) == coder.encode_text(text)
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "é", "中", "ha", "=", "\u0301", " ", "x1"])
+def test_one_long_word(library, coder, unit):
+    text = "go " + unit * 9000 + " on"
+    assert coder.encode_text(text) == tokens(library, text)
+    pieces = [coder.encode_piece(p) for p in coder.cuts(text, 700)]
+    assert coder.join_all(pieces).ids.tolist() == tokens(library, text)
+
+
+def test_special_strings_are_not_cut(coder):
+    text = "x" * 5 + "<|endoftext|>" * 3 + "y"
+    for size in range(1, len(text)):
+        assert coder.cuts(text, size) and all(
+            "<" not in p or p.count("<|endoftext|>") == p.count("<") for p in coder.cuts(text, size)
+        )
+
+
+def test_decoding(library, coder):
+    rnd = random.Random(4)
+    for _ in range(200):
+        ids = [rnd.randrange(50257) for _ in range(rnd.randint(0, 30))]
+        assert coder.decode_ids(ids) == library.decode(ids, skip_special_tokens=False)
+    assert coder.decode_ids([-1, 64, 99999, 65]) == coder.decode_ids([64, 65])
+
+
+@pytest.mark.parametrize("piece_chars", [50, bpe.PIECE_CHARS])
+def test_whole_documents(spark, documents, library, piece_chars):
+    rnd = random.Random(9)
+    texts = [*ODD_TEXTS, *[random_text(rnd) for _ in range(40)], "word <|endoftext|> " * 4000]
+    docs = documents([(rnd.choice([i, None, 1]), t, "en", "s", 0) for i, t in enumerate(texts)])
+    found = bpe.encode(docs.withColumn("ids", F.lit(1)), FILE, piece_chars=piece_chars)
+    key = lambda r: repr(r)
+    expected = sorted(((r.doc_id, tokens(library, r.text or "")) for r in docs.collect()), key=key)
+    assert sorted(((r.doc_id, r.ids) for r in found.collect()), key=key) == expected
+    back = sorted(repr((r.doc_id, r.text)) for r in bpe.decode(found, FILE).collect())
+    assert back == sorted(repr((r.doc_id, r.text or "")) for r in docs.collect())
+    none = bpe.decode(found.select("doc_id", F.lit(None).cast("array<int>").alias("ids")), FILE)
+    assert {r.text for r in none.collect()} == {""}
+
+
+def test_query(spark, documents, library, tmp_path):
+    docs = documents([*ODD_TEXTS, "a b " * 20_000])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    expected = {}
+    for row in docs.collect():
+        ids = tokens(library, row.text or "")
+        expected[row.doc_id] = (
+            len(ids), sha(",".join(map(str, ids))),
+            sha(library.decode(ids, skip_special_tokens=False)),
+        )
+    found = op13_bpe(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {r.doc_id: tuple(r)[1:] for r in found.collect()} == expected
+    spark.createDataFrame([], DOCUMENTS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert op13_bpe(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_other_kinds_of_tokenizers_raise(documents):
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.encode(documents(["a"]), public_tokenizers.path("word_bpe_49k.json"))

@@ -1,8 +1,10 @@
 """Target shares, sampling, and the oracle in DuckDB."""
 
+import random
+
 import duckdb
 import pytest
-from odd_texts import ODD_TEXTS
+from odd_texts import DOCUMENTS, ODD_TEXTS
 from pyspark.sql import functions as F
 
 import tallybook.llm.mixing as module
@@ -93,13 +95,31 @@ def test_odd_rows(documents):
     assert mix(empty, {"lang": 0.5}, token_count(F.col("text")), F.lit(0.5)).collect() == []
 
 
-@pytest.mark.parametrize("name", ["op2_exact_dedup", "op3_mixing"])
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op3_mixing", "op11_ranked_search", "op12_merkle"])
 def test_queries_equal_their_oracles(spark, name):
     path = "/root/testdata/sf0.001"
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS FROM '{path}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {table} AS FROM '{path}/{table}.parquet'")
     result = queries.queries()[name](spark, path)
     answer = connection.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in answer.description]
     assert sorted(columns) == sorted(result.columns)
     assert sorted(tuple(r) for r in result.select(columns).collect()) == sorted(answer.fetchall())
+
+
+def test_oracle_with_null_and_unlisted_languages(spark, tmp_path):
+    rnd = random.Random(12)
+    rows = [
+        (None if i % 50 == 0 else i, " ".join(["word"] * rnd.randint(1, 30)),
+         rnd.choice(["en", "en", "de", "it", None]), f"src{i % 3}", 0)
+        for i in range(400)
+    ]
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(map(repr, map(tuple, queries.op3_mixing(spark, str(tmp_path)).collect())))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    answer = duck.execute(queries.oracle_sql()["op3_mixing"]).fetchall()
+    assert found == sorted(map(repr, answer))
+    drawn = {row[2] for row in answer if row[-1]}
+    assert {None, "it", "en", "de"} <= drawn
