@@ -4,7 +4,7 @@
 next one. All stages but the last return the columns of the documents they were given.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm import decontamination, langid, ngram_join, sharding
@@ -19,43 +19,100 @@ N_SHARDS = 40
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that are in a language; it is learnt from those that name theirs."""
+    """Keep documents that are in a language; it is learnt from those that name theirs.
+
+    Every row is judged by its own whole text, however long; null and empty texts and those without
+    a letter go. Repeated rows stay or go alike, null and repeated ids make no difference but to
+    what is learnt from. No rows give no rows.
+    """
     model = langid.train(docs.where(~langid.held_out()))
-    found = langid.predict(_whole(docs, "text"), model, ["_doc"])
+    rows = _numbered(docs, "spoken")
+    found = langid.predict(rows, model, ["_row"])
     kept = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)
-    return found.where(kept).select("_doc.*")
+    return _without(rows, found.where(~kept), "unspoken")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links connect, keep the one with the smallest id."""
-    found = ngram_join.similar_documents(docs, WORDS, PERCENT, count_links=False)
-    copies = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return without(docs, stored(copies.select("doc_id"), "copies"), ["doc_id"])
+    """Of the rows that near-duplicate links connect, keep one: that with the smallest id.
+
+    Null ids come last; of equal ids, repeated rows included, any one row stays. Texts are compared
+    whole; null, empty and blank ones are linked with nothing and stay. No rows give no rows.
+    """
+    rows = _numbered(docs, "compared")
+    numbers = rows.select(F.col("_row").alias("doc_id"), "text")
+    found = ngram_join.similar_documents(numbers, WORDS, PERCENT, count_links=False)
+    others = stored(
+        found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"), "component_id"),
+        "linked",
+    )
+    # The row that gives a component its name is in it as well.
+    named = others.select("component_id").distinct()
+    members = others.unionByName(named.select(F.col("component_id").alias("_row"), "component_id"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    kept = (
+        rows.select("_row", "doc_id")
+        .join(members, "_row")
+        .groupBy("component_id")
+        .agg(F.min(first).alias("first"))
+        .select(F.col("first._row").alias("_row"))
+    )
+    return _without(rows, members.join(kept, "_row", "left_anti"), "copies")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
-    hits = decontamination.benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = stored(hits.where("n_hit > 0").select("doc_id"), "contaminated")
-    return without(docs, hit, ["doc_id"])
+    """Drop the rows whose text holds a window of a benchmark item.
+
+    Every row is judged by its own whole text, whatever its id; null and empty texts stay. An empty
+    benchmark drops nothing. No rows give no rows.
+    """
+    rows = _numbered(docs, "searched")
+    hits = decontamination.benchmark_hits(
+        rows.select(F.col("_row").alias("doc_id"), "text"),
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet"),
+    )
+    return _without(rows, hits.where("n_hit > 0").select(F.col("doc_id").alias("_row")), "hit")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw documents so that sources, languages and topics get their target weights."""
+    """Draw documents so that sources, languages and topics get their target weights.
+
+    The draw goes by the id: rows of one id and cell, and all null ids of a cell, are drawn or left
+    together. A null source or language is a value like others, null and empty texts weigh nothing
+    and go by their cell. No rows give no rows.
+    """
     drawn = mixed(_whole(docs, "doc_id", "text", "lang", "source"))
     return drawn.where("sampled").select("_doc.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard and its slot in it."""
-    return sharding.shuffle_into_shards(docs, N_SHARDS)
+    """Every row with its shard and its slot in it.
+
+    Shards differ by one row at most, and slots have no gaps. Rows are dealt to blocks by id and
+    text, so null and repeated ids do not meet unless their texts are equal. No rows give no rows.
+    """
+    rows = _whole(docs, "doc_id", F.xxhash64("text").alias("_text"))
+    sharded = sharding.shuffle_into_shards(rows, N_SHARDS, ("doc_id", "_text"))
+    kept = [F.col("_doc")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    return sharded.select(*kept, "shard", "slot")
 
 
-def _whole(docs: DataFrame, *columns: str) -> DataFrame:
+def _whole(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """Some columns, and all of them in one, so that no name clashes with what is added."""
     return docs.select(F.struct(*docs.columns).alias("_doc"), *columns)
 
 
+def _numbered(docs: DataFrame, label: str) -> DataFrame:
+    """The rows with a number each, fixed by writing them: ids may be null or repeated."""
+    rows = _whole(docs, "doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    return stored(rows, label)
+
+
+def _without(rows: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
+    """The documents of all rows but the dropped ones."""
+    numbers = stored(dropped.select("_row"), label)
+    return without(rows.select("_row", "_doc"), numbers, ["_row"]).select("_doc.*")
+
+
 STAGES = [
     ("language_id", language_id),
     ("near_duplicates", near_duplicates),
