@@ -95,3 +95,28 @@ def test_empty_documents(spark, folder, tmp_path):
     empty = spark.createDataFrame([], DOCUMENTS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder[0]).collect() == []
+
+
+def test_null_and_repeated_ids(spark, folder):
+    path, _, items = folder
+    said = lambda word: " ".join(f"{word}{i % 17}{i}" for i in range(40))
+    rows = [
+        (None, said("copy"), "en", "s", 1), (5, said("copy"), "en", "s", 1),
+        (None, said("clean"), "en", "s", 2), (None, said("other"), "de", "s", 3),
+        (2, said("twice"), "en", "s", 4), (2, said("twice"), "en", "s", 4),
+        (7, said("same id"), "en", "s", 5), (7, f"before {items[0][1]} after", "en", "s", 6),
+        (None, f"more {items[1][1]} words", "en", "s", 7), (None, None, "en", "s", 8),
+        (None, None, "en", "s", 8),
+    ]
+    docs = spark.createDataFrame(rows, DOCUMENTS).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    apart = rows_of(stages["near_duplicates"](spark, docs, path))
+    assert apart == sorted(rows[1:5] + rows[6:], key=repr)
+    clean = rows_of(stages["decontamination"](spark, docs, path))
+    assert clean == sorted(rows[:7] + rows[9:], key=repr)
+    sharded = stages["sharding"](spark, docs, path)
+    assert rows_of(sharded) == sorted(rows, key=repr)
+    slots = sorted((r.shard, r.slot) for r in sharded.collect())
+    assert len(set(slots)) == len(rows) and max(slot for _, slot in slots) == 0
+    spoken = rows_of(stages["language_id"](spark, docs, path))
+    assert set(spoken) <= set(rows) and not any(r[1] is None for r in spoken)
