@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     what is learnt from. No rows give no rows.
     """
     model = langid.train(docs.where(~langid.held_out()))
-    rows = _numbered(docs, "spoken")
+    rows = _numbered(docs)
     found = langid.predict(rows, model, ["_row"])
     kept = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)
     return _without(rows, found.where(~kept), "unspoken")
@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null ids come last; of equal ids, repeated rows included, any one row stays. Texts are compared
     whole; null, empty and blank ones are linked with nothing and stay. No rows give no rows.
     """
-    rows = _numbered(docs, "compared")
+    rows = _numbered(docs)
     numbers = rows.select(F.col("_row").alias("doc_id"), "text")
     found = ngram_join.similar_documents(numbers, WORDS, PERCENT, count_links=False)
     others = stored(
@@ -65,7 +65,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Every row is judged by its own whole text, whatever its id; null and empty texts stay. An empty
     benchmark drops nothing. No rows give no rows.
     """
-    rows = _numbered(docs, "searched")
+    rows = _numbered(docs)
     hits = decontamination.benchmark_hits(
         rows.select(F.col("_row").alias("doc_id"), "text"),
         spark.read.parquet(f"{sf_dir}/benchmark.parquet"),
@@ -101,10 +101,13 @@ def _whole(docs: DataFrame, *columns: str | Column) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("_doc"), *columns)
 
 
-def _numbered(docs: DataFrame, label: str) -> DataFrame:
-    """The rows with a number each, fixed by writing them: ids may be null or repeated."""
-    rows = _whole(docs, "doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-    return stored(rows, label)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, by where they stand in the stored table they are read from.
+
+    Ids may be null or repeated. Every read of a stored table makes the same splits of the same
+    files, whatever columns are read, so a row has one number throughout a stage.
+    """
+    return _whole(docs, "doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
 
 
 def _without(rows: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
