@@ -14,16 +14,21 @@ def connected_components(links: DataFrame) -> DataFrame:
     A node with very many links is reduced to its smallest one before the shuffle.
     """
     links = stored(links.where("a <> b").select("a", "b").distinct(), "links")
-    before = None
-    while True:
+    while not _are_stars(links):
         links = stored(_small_star(_large_star(links)), "stars")
-        hashes = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        now = tuple(links.agg(F.count("*"), hashes).first())
-        if now == before:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        before = now
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    )
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each greater node has one smaller node, which has none itself."""
+    lower = F.when(F.col("a") > F.col("b"), 1).otherwise(2).alias("lower")
+    ends = links.select(F.col("a").alias("node"), lower, F.lit(0).alias("upper")).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("lower"), F.lit(1).alias("upper"))
+    )
+    found = ends.groupBy("node").agg(F.sum("lower").alias("lower"), F.max("upper").alias("upper"))
+    return found.where((F.col("lower") > 1) | ((F.col("lower") > 0) & (F.col("upper") > 0))).isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
