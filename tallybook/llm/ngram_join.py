@@ -3,17 +3,21 @@
 A document's set holds the hashes of its distinct n-grams. All sets are put in one order, rare
 n-grams first, by a table of counts of one fixed size over the whole corpus. Two sets that reach
 the threshold share an n-gram among the first few of each (the prefix), so only prefixes are
-joined. Pairs that meet must also agree in length, and leave enough n-grams after the place where
-they meet (positional filter); before the sets are intersected, their counts over a few bands of
-hashes must leave enough overlap (suffix filter). Each pair is verified once, by its whole sets.
+joined. Pairs that meet must also agree in length, leave enough n-grams after the place where they
+meet (positional filter), and may not be known to differ in too many n-grams. For that each place
+carries one parity bit for each of 512 classes of its set's n-grams: two sets differ in at least as
+many n-grams as bits. This is the Hamming bound of a suffix filter, taken over the whole set, since
+rare-first order leaves what near copies differ in before the suffix. All three are tested as
+places meet. Only then is a pair verified, by its whole texts.
 
 Documents of equal sets are one node. In a large group of near copies, most pairs lie inside one
-component after few links are known: two rounds of pivots compare all that share an n-gram with
-some of them only, and the pairs that remain are those between different components.
+component after few links are known: a round of pivots compares all that share an n-gram with some
+of them only, and the pairs that remain are those between different components.
 
 Links are then counted for themselves. All links of a set are inside its component, so a component
 is cut into blocks of sets of like size, and every two blocks whose sizes can link are compared
-whole: their overlaps are one product of two 0/1 matrices.
+whole: their overlaps are one product of two 0/1 matrices. Texts go to the blocks, and their sets
+are made there: a text takes less than half of the room of its hashes.
 """
 
 import math
@@ -30,9 +34,11 @@ from tallybook.llm.keys import join_counted, maybe_among
 from tallybook.llm.storage import stored
 
 SKETCH_BITS = 21
-BANDS = 32
+CLASS_BITS = 9  # the highest bits of a hash are the class of an n-gram
 # How many sets each round draws at every place, to be compared with all others there.
-PIVOTS = 4, 16
+PIVOTS = (16,)
+# Places of one n-gram are dealt to so many tasks that each has about this many of them.
+PLACES = 256
 # About so many sets, or n-grams in them, make a block of a component.
 BLOCK_SETS = 256
 BLOCK_GRAMS = 1 << 20
@@ -58,20 +64,25 @@ def similar_documents(
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sketch = spark.sparkContext.broadcast(_sketch(docs, words))
-    rows = stored(_prefixes(docs, words, percent, sketch), "prefixes")
+    prefixes = _prefixes(docs, words, percent, sketch)
+    rows = stored(prefixes.withColumn("row", F.monotonically_increasing_id()), "prefixes")
     real = rows.where("n > 0")
+    # A set goes by the number of the first row that has it.
     sets = stored(
-        real.groupBy("s1", "s2", "n")
-        .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-        .withColumn("set_id", F.monotonically_increasing_id()),
+        real.groupBy("s1", "s2", "n").agg(
+            F.min("doc_id").alias("first_id"),
+            F.count("*").alias("copies"),
+            F.min("row").alias("set_id"),
+            F.min_by("doc_id", "row").alias("head_id"),
+        ),
         "sets",
     )
     total = real.count()
-    places = (
-        join_counted(real, sets, ["s1", "s2", "n"], "copies", total)
-        .where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .select("set_id", "n", F.posexplode("prefix").alias("at", "gram"))
+    heads = real.join(sets.select(F.col("set_id").alias("row")), "row", "left_semi").select(
+        F.col("row").alias("set_id"), "doc_id", "s1", "s2", "n", "prefix", "parity"
     )
+    heads = stored(heads, "heads")
+    places = heads.select("set_id", "n", "parity", F.posexplode("prefix").alias("at", "gram"))
     meeting = (
         places.groupBy("gram")
         .agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"))
@@ -80,7 +91,7 @@ def similar_documents(
     )
     meeting = stored(meeting, "meeting")
     places = stored(maybe_among(places, meeting, ["gram"], True).join(meeting, "gram"), "places")
-    links = _links(docs, words, percent, sets, places)
+    links = _links(docs, words, percent, heads, places)
 
     roots = connected_components(links)
     labels = sets.join(roots, F.col("set_id") == F.col("node"), "left").withColumn(
@@ -172,7 +183,8 @@ def _pieces(pieces, counts) -> pa.RecordBatch:
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, sketch) -> DataFrame:
-    """Per document the size of its set, two sums that identify the set, and its prefix."""
+    """Per document the size of its set, two sums that identify the set, its prefix, and the
+    parities of its classes."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     mask = np.uint64((1 << SKETCH_BITS) - 1)
 
@@ -180,12 +192,15 @@ def _prefixes(docs: DataFrame, words: int, percent: int, sketch) -> DataFrame:
         counts = sketch.value
         for batch in batches:
             for texts in text_slices(batch.column("text")):
-                sizes, first, second, prefixes = [], [], [], []
+                sizes, first, second, prefixes, parities = [], [], [], [], []
                 for grams, sums in _identified(texts, words):
                     n = len(grams)
                     kept = n - -(-percent * n // 100) + 1 if n else 0
                     often = counts[(grams & mask).astype(np.int64)]
                     prefixes.append(grams[np.lexsort((grams, often))[:kept]].view(np.int64))
+                    classes = (grams >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+                    odd = np.bincount(classes, minlength=1 << CLASS_BITS).astype(np.uint8) & 1
+                    parities.append(np.packbits(odd).view(np.int64))
                     sizes.append(n)
                     first.append(sums[0])
                     second.append(sums[1])
@@ -198,53 +213,42 @@ def _prefixes(docs: DataFrame, words: int, percent: int, sketch) -> DataFrame:
                         pa.array(np.array(first, np.uint64).view(np.int64)),
                         pa.array(np.array(second, np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)),
+                        pa.array(parities, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n", "s1", "s2", "prefix"],
+                    names=["doc_id", "n", "s1", "s2", "prefix", "parity"],
                 )
 
     return docs.mapInArrow(
-        find, f"doc_id {id_type}, n bigint, s1 bigint, s2 bigint, prefix array<bigint>"
+        find,
+        f"doc_id {id_type}, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, parity array<bigint>",
     )
 
 
-def _full_sets(docs: DataFrame, words: int, members: DataFrame) -> DataFrame:
-    """The whole sets of ``members`` (and few others), with their counts by band of the hashes."""
+def _texts(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
+    """``s1, s2, text`` of the documents whose id is one of ``ids``, and of few others."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in text_slices(batch.column("text")):
-                found = [(s, sums) for s, sums in _identified(texts, words) if len(s)]
-                sets = [s for s, _ in found]
-                first, second = (
-                    np.array([sums[i] for _, sums in found], np.uint64) for i in range(2)
-                )
-                high = [(s >> np.uint64(59)).astype(np.int64) for s in sets]
-                bands = [np.bincount(h, minlength=BANDS) for h in high]
-                lengths = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                sums = np.array([sums for _, sums in _identified(texts, words)], np.uint64)
+                first, second = np.ascontiguousarray(sums.reshape(-1, 2).T).view(np.int64)
+                text = batch.column("text").slice(texts.first, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(first.view(np.int64)),
-                        pa.array(second.view(np.int64)),
-                        pa.array(bands, pa.list_(pa.int64())),
-                        pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat.view(np.int64))),
-                    ],
-                    names=["s1", "s2", "bands", "grams"],
+                    [pa.array(first), pa.array(second), text], names=["s1", "s2", "text"]
                 )
 
-    firsts = members.select(F.col("first_id").alias("doc_id"))
-    return maybe_among(docs, firsts, ["doc_id"], True).mapInArrow(
-        find, "s1 bigint, s2 bigint, bands array<bigint>, grams array<bigint>"
-    )
+    near = maybe_among(docs, ids, ["doc_id"], True)
+    return near.mapInArrow(find, "s1 bigint, s2 bigint, text string")
 
 
 # --- links -----------------------------------------------------------------------------------
 
 
 def _links(
-    docs: DataFrame, words: int, percent: int, sets: DataFrame, places: DataFrame
+    docs: DataFrame, words: int, percent: int, heads: DataFrame, places: DataFrame
 ) -> DataFrame:
     """Links ``a < b`` between sets, enough to connect whatever any link connects."""
+    heads = heads.drop("prefix")
     labels = verified = None
     for number, pivots in enumerate([*PIVOTS, None]):
         labelled = places.withColumn("root", F.col("set_id"))
@@ -264,11 +268,10 @@ def _links(
         pairs = pairs.distinct()
         if verified is not None:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        members = stored(sets.join(wanted, "set_id", "left_semi"), "members")
-        full = stored(_full_sets(docs, words, members), "full-sets")
-        checked = stored(_verified(pairs, members, full, percent).distinct(), "verified")
+        pairs = stored(_identified_pairs(pairs, heads, percent), "pairs")
+        wanted = pairs.select(F.explode(F.array("a_id", "b_id")).alias("doc_id")).distinct()
+        texts = stored(_texts(docs, words, wanted), "texts")
+        checked = stored(_verified(pairs, texts, words, percent).distinct(), "verified")
         verified = checked if verified is None else verified.unionByName(checked)
         links = verified.where("linked").select("a", "b")
         if pivots is not None:
@@ -278,7 +281,7 @@ def _links(
 
 def _undecided(labelled: DataFrame, least: int) -> DataFrame:
     """Places where sets of several components meet, more than ``least`` sets in all, with the
-    largest of those components."""
+    largest of those components and the number of tasks they are dealt to."""
     by_root = labelled.groupBy("gram", "root").agg(F.count("*").alias("size"))
     by_gram = (
         by_root.groupBy("gram")
@@ -288,16 +291,26 @@ def _undecided(labelled: DataFrame, least: int) -> DataFrame:
             F.sum("size").alias("all"),
         )
         .where((F.col("roots") > 1) & (F.col("all") > least))
-        .select("gram", "main")
+        .select("gram", "main", F.ceil(F.col("all") / PLACES).cast("int").alias("parts"))
     )
     return labelled.join(by_gram, "gram")
 
 
 def _all_pairs(labelled: DataFrame, percent: int) -> DataFrame:
     """Pairs across components; at least one of each is outside its place's main component."""
-    x = labelled.where("root <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in _OF_SET])
-    y = labelled.select("gram", *[F.col(c).alias(f"y_{c}") for c in _OF_SET])
-    return _filtered(x.join(y, "gram"), percent)
+    x = labelled.where("root <> main").select(
+        "gram", "parts", *[F.col(c).alias(f"x_{c}") for c in (*_OF_SET, "parity")]
+    )
+    return _filtered(_met(x, labelled), percent, True)
+
+
+def _met(x: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Each of ``x`` with all places of its n-gram, which are dealt to several parts where they are
+    many; ``x`` goes to all of them."""
+    part = F.expr("int(pmod(xxhash64(set_id), parts))").alias("part")
+    y = labelled.select("gram", part, *[F.col(c).alias(f"y_{c}") for c in (*_OF_SET, "parity")])
+    x = x.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+    return y.join(x, ["gram", "part"])
 
 
 def _pivot_pairs(labelled: DataFrame, percent: int, number: int, pivots: int) -> DataFrame:
@@ -311,51 +324,85 @@ def _pivot_pairs(labelled: DataFrame, percent: int, number: int, pivots: int) ->
     structs = ", ".join(
         "struct(" + ", ".join(f"{c}_{k} AS x_{c}" for c in _OF_SET) + ")" for k in range(pivots)
     )
-    x = labelled.groupBy("gram").agg(*chosen).selectExpr("gram", f"inline(array({structs}))")
-    y = labelled.select("gram", *[F.col(c).alias(f"y_{c}") for c in _OF_SET])
-    return _filtered(y.join(x.distinct(), "gram"), percent)
+    x = (
+        labelled.groupBy("gram", "parts")
+        .agg(*chosen)
+        .selectExpr("gram", "parts", f"inline(array({structs}))")
+    )
+    return _filtered(_met(x.distinct(), labelled), percent, False)
 
 
 _OF_SET = "set_id", "n", "at", "root"
 
 
-def _filtered(met: DataFrame, percent: int) -> DataFrame:
-    """Length and positional filter."""
+def _filtered(met: DataFrame, percent: int, parities: bool) -> DataFrame:
+    """Length and positional filter, and the bound by parities where both sides have them."""
     x_n, y_n = F.col("x_n"), F.col("y_n")
     after = F.least(x_n - F.col("x_at"), y_n - F.col("y_at"))
-    return met.where(
+    met = met.where(
         (F.col("x_root") != F.col("y_root"))
         & (100 * F.least(x_n, y_n) >= percent * F.greatest(x_n, y_n))
         & (after >= _needed(x_n, y_n, percent))
-    ).select(
+    )
+    if parities:
+        met = met.where(_may_agree("x", "y", percent))
+    return met.select(
         F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")
     )
 
 
+def _may_agree(x: str, y: str, percent: int) -> Column:
+    """Whether the parities leave enough overlap: a class of unlike parity has an n-gram that only
+    one of the sets has."""
+    x_n, y_n = F.col(f"{x}_n"), F.col(f"{y}_n")
+    apart = F.expr(
+        f"aggregate(zip_with({x}_parity, {y}_parity, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+    )
+    return x_n + y_n - apart >= 2 * _needed(x_n, y_n, percent)
+
+
+def _identified_pairs(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose parities leave enough overlap, with document and sums of both sets."""
+    for x in ("a", "b"):
+        of_x = heads.selectExpr(
+            f"set_id AS {x}", f"doc_id AS {x}_id", f"s1 AS {x}_1", f"s2 AS {x}_2",
+            f"n AS {x}_n", f"parity AS {x}_parity",
+        )
+        pairs = pairs.join(of_x, x)
+    return pairs.where(_may_agree("a", "b", percent)).select(
+        "a", "b", "a_id", "b_id", "a_1", "a_2", "b_1", "b_2"
+    )
+
+
 def _needed(x: Column, y: Column, percent: int) -> Column:
     """The least overlap of two sets of these sizes that reaches the threshold."""
     return F.ceil(percent * (x + y) / F.lit(100 + percent))
 
 
-def _verified(
-    pairs: DataFrame, members: DataFrame, full: DataFrame, percent: int
-) -> DataFrame:
-    """Whether each pair is linked: suffix filter, then the intersection of the whole sets."""
-    for x in ("a", "b"):
-        pairs = pairs.join(members.selectExpr(f"set_id AS {x}", f"s1 AS {x}_1", f"s2 AS {x}_2"), x)
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Whether each pair is linked, by the intersection of the sets of the whole texts."""
+
+    def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
+        for texts in text_slices(column):
+            yield from map(np.unique, _sets(texts, words))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(sets_of(batch.column("a_text")), sets_of(batch.column("b_text"))):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())],
+                names=["a", "b", "linked"],
+            )
+
     one, two = (
-        full.selectExpr(f"s1 AS {x}_1", f"s2 AS {x}_2", f"bands AS {x}_bands", f"grams AS {x}_grams")
-        for x in ("a", "b")
-    )
-    shared = F.expr(
-        "aggregate(zip_with(a_bands, b_bands, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)"
+        texts.selectExpr(f"s1 AS {x}_1", f"s2 AS {x}_2", f"text AS {x}_text") for x in ("a", "b")
     )
-    sizes = F.size("a_grams") + F.size("b_grams")
-    common = F.size(F.array_intersect("a_grams", "b_grams"))
-    reaches = 100 * common >= percent * (sizes - common)
-    passes = shared >= _needed(F.size("a_grams"), F.size("b_grams"), percent)
-    return pairs.join(one, ["a_1", "a_2"]).join(two, ["b_1", "b_2"]).select(
-        "a", "b", F.when(passes, reaches).otherwise(False).alias("linked")
+    whole = pairs.drop("a_id", "b_id").join(one, ["a_1", "a_2"]).join(two, ["b_1", "b_2"])
+    return whole.select("a", "b", "a_text", "b_text").mapInArrow(
+        verify, "a bigint, b bigint, linked boolean"
     )
 
 
@@ -367,7 +414,7 @@ def _degrees(docs: DataFrame, words: int, percent: int, labels: DataFrame) -> Da
     # Sizes that can link are in one band or in neighbouring ones; a little wider, for rounding.
     width = 1.001 * max(math.log(100 / percent), 1e-3)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int").alias("band")
-    members = stored(labels.select("set_id", "first_id", "s1", "s2", "n", "root", band), "linked")
+    members = stored(labels.select("set_id", "head_id", "s1", "s2", "n", "root", band), "linked")
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS))
     layouts = (
         members.groupBy("root", "band")
@@ -385,14 +432,14 @@ def _degrees(docs: DataFrame, words: int, percent: int, labels: DataFrame) -> Da
     placed = placed.withColumn(
         "mine", F.expr("int(pmod(xxhash64(set_id), element_at(blocks, band)))")
     ).withColumn("jobs", F.expr(_JOBS))
-    full = _full_sets(docs, words, members).select("s1", "s2", "grams")
+    texts = _texts(docs, words, members.select(F.col("head_id").alias("doc_id")))
     compared = (
-        full.join(placed.select("set_id", "root", "s1", "s2", "jobs"), ["s1", "s2"])
-        .select("set_id", "root", "grams", F.explode("jobs").alias("job"))
-        .select("set_id", "root", "grams", "job.*")
+        texts.join(placed.select("set_id", "root", "s1", "s2", "jobs"), ["s1", "s2"])
+        .select("set_id", "root", "text", F.explode("jobs").alias("job"))
+        .select("set_id", "root", "text", "job.*")
     )
     counted = compared.groupBy("root", "x_band", "x", "y_band", "y").applyInArrow(
-        _block_links(percent), "set_id bigint, links bigint"
+        _block_links(words, percent), "set_id bigint, links bigint"
     )
     return counted.groupBy("set_id").agg(F.sum("links").alias("n_links"))
 
@@ -414,12 +461,13 @@ _JOBS = f"""if(whole, array({_JOB.format(0, 0, 0, 0, "true", "true")}), concat({
     if(map_contains_key(blocks, band - 1), {_LAST_BAND}, array())))"""
 
 
-def _block_links(percent: int) -> Callable[[pa.Table], pa.Table]:
+def _block_links(words: int, percent: int) -> Callable[[pa.Table], pa.Table]:
     def count(table: pa.Table) -> pa.Table:
         # Rows that repeat a document's id bring its set again.
         ids, rows = np.unique(table.column("set_id").to_numpy(), return_index=True)
         table = table.take(pa.array(rows))
-        sets = [grams.values.to_numpy() for grams in table.column("grams")]
+        column = table.column("text").combine_chunks()
+        sets = [np.unique(s) for texts in text_slices(column) for s in _sets(texts, words)]
         x, y = (np.flatnonzero(table.column(c).to_numpy()) for c in ("in_x", "in_y"))
         sizes = np.array([len(s) for s in sets], np.int64)
         common = _overlaps(sets, sizes, x, y)
