@@ -17,7 +17,7 @@ of them only, and the pairs that remain are those between different components.
 Links are then counted for themselves. All links of a set are inside its component, so a component
 is cut into blocks of sets of like size, and every two blocks whose sizes can link are compared
 whole: their overlaps are one product of two 0/1 matrices. Texts go to the blocks, and their sets
-are made there: a text takes less than half of the room of its hashes.
+are made there: compressed, a text takes little over half of the room of its hashes.
 """
 
 import math
