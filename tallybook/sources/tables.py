@@ -1,6 +1,8 @@
 """Writing ledgers and reading the stored table."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
@@ -29,7 +31,11 @@ def write_combined(ledger: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def write_table(
-    ledger: DataFrame, path: str, mode: str = "errorifexists", partitions: int | None = None
+    ledger: DataFrame,
+    path: str,
+    mode: str = "errorifexists",
+    partitions: int | None = None,
+    clustered: Sequence[str | Column] = _CLUSTERED,
 ) -> None:
     """Store the typed ledger as parquet, one directory per ``Year``.
 
@@ -37,12 +43,13 @@ def write_table(
     account, month and position, and sorted by them. A file holds a short range of accounts and
     months, which lets a reader skip files and row groups by their least and greatest values. The
     position splits an account that has much of the data, without any help at run time.
+    ``clustered`` gives other keys; they begin with the year and should end with the position.
     """
     number = [] if partitions is None else [partitions]
     (
-        ledger.select(table_schema().names)
-        .repartitionByRange(*number, *_CLUSTERED)
-        .sortWithinPartitions(*_CLUSTERED)
+        ledger.repartitionByRange(*number, *clustered)
+        .sortWithinPartitions(*clustered)
+        .select(table_schema().names)
         .write.mode(mode)
         # An overwrite replaces the whole table, also the years that no longer occur.
         .option("partitionOverwriteMode", "static")
