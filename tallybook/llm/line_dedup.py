@@ -1,10 +1,11 @@
 """Lines that repeat with a few typing differences, with DataFrame functions alone.
 
 Two lines within ``EDITS`` edits of each other, cut into ``EDITS + 1`` segments, share at least one
-segment whole. So every line is listed under its segments, with its length, and probes the
-segments of lines that are up to ``EDITS`` shorter by those of its substrings that could be in the
-right place. Lines that meet are verified by a banded bit-parallel edit distance: one band of
-``2 * EDITS + 1`` bits of the distance matrix moves along the diagonal, a column at a time.
+segment whole. So every line is listed under its segments, and probes the segments of lines that are
+up to ``EDITS`` shorter by those of its substrings that could be in the right place. Segments have one
+size and place for a range of lengths, so that one probe finds lines of several lengths. Lines that
+meet are verified by a banded bit-parallel edit distance: one band of ``2 * EDITS + 1`` bits of the
+distance matrix moves along the diagonal, a column at a time.
 
 Before that, two cheap bounds drop most pairs: parities of letters and of letter pairs, hashed to
 60 bits, of which an edit can change a few only.
@@ -64,19 +65,22 @@ def near_duplicate_lines(
     links = _links(lines, *by_length[0])
     for edits_and_lengths in by_length[1:]:
         links = links.unionByName(_links(lines, *edits_and_lengths))
-    roots = connected_components(links)
-    labelled = lines.join(roots, F.col("line_id") == F.col("node"), "left")
-    firsts = labelled.groupBy(F.coalesce("root", "line_id").alias("class")).agg(
-        F.min("first").alias("first")
+    roots = connected_components(links).withColumnRenamed("node", "line_id")
+    # Most lines are in no link: they are a class each and are not shuffled.
+    places = lines.select("line_id", "first")
+    linked = maybe_among(places, roots, ["line_id"], True).join(roots, "line_id", "left")
+    firsts = (
+        linked.groupBy(F.coalesce("root", "line_id").alias("class"))
+        .agg(F.min("first").alias("first"))
+        .select("first")
+        .unionByName(maybe_among(places, roots, ["line_id"], False).select("first"))
     )
     kept = stored(
         firsts.groupBy("first.doc_id").agg(F.collect_set("first.at").alias("kept")), "kept-lines"
     )
-    n_long = F.size(F.filter(_lines(F.col("text")), lambda x: F.length(x) >= least_chars))
-    docs = docs.withColumn("_long", F.when(F.col("text").isNull(), 0).otherwise(n_long))
     # Documents that keep all their lines are not shuffled with their texts.
     whole = stored(
-        docs.select("doc_id", "_long")
+        docs.select("doc_id", _n_long(F.col("text"), least_chars).alias("_long"))
         .join(_as_key(kept), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
         .where("_long > coalesce(size(kept), 0)")
         .select("doc_id")
@@ -86,25 +90,24 @@ def near_duplicate_lines(
     near = maybe_among(docs, whole, ["doc_id"], True)
     others = maybe_among(docs, whole, ["doc_id"], False)
     cut = near.join(_as_key(kept), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("at")))
-    stays = F.transform(
-        F.filter(
-            numbered,
-            lambda x: (F.length(_trimmed(x["line"])) < least_chars)
-            | F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), x["at"]),
-        ),
-        lambda x: x["line"],
+    split = F.split("text", "\n")
+    stays = F.filter(
+        "said",
+        lambda x, at: F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), at)
+        | (F.length(_trimmed(x)) < least_chars),
     )
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).alias("n_lines")
+    n_dropped = F.when(F.col("said").isNull(), 0).otherwise(F.size("said") - F.size("stays"))
     return (
-        cut.select(
+        cut.select("doc_id", "kept", split.alias("said"))
+        .select("doc_id", "said", stays.alias("stays"))
+        .select(
             "doc_id",
-            F.array_join(stays, "\n").alias("_kept_text"),
-            n_lines.alias("n_lines"),
-            F.when(F.col("text").isNull(), 0).otherwise(n_lines - F.size(stays)).alias("n_dropped"),
+            F.array_join("stays", "\n").alias("text"),
+            F.when(F.col("said").isNull(), 0).otherwise(F.size("said")).alias("n_lines"),
+            n_dropped.alias("n_dropped"),
         )
-        .withColumnRenamed("_kept_text", "text")
-        .unionByName(others.select("doc_id", "text", n_lines.alias("n_lines"), F.lit(0).alias("n_dropped")))
+        .unionByName(others.select("doc_id", "text", n_lines, F.lit(0).alias("n_dropped")))
     )
 
 
@@ -113,16 +116,24 @@ def _as_key(kept: DataFrame) -> DataFrame:
 
 
 def _trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r"))
+    line = F.ltrim(line, F.lit(" \t\r"))
+    # Trimming at the end walks through the whole line: only where there is something to trim.
+    blank = F.endswith(line, F.lit(" ")) | F.endswith(line, F.lit("\t")) | F.endswith(line, F.lit("\r"))
+    return F.when(blank, F.rtrim(line, F.lit(" \t\r"))).otherwise(line)
 
 
-def _lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), _trimmed)
+def _n_long(text: Column, least_chars: int) -> Column:
+    """How many lines of a text count: those that ``_long_lines`` gives."""
+    visible, any_char = "[^ \\t\\r\\n]", "[^\\n]"
+    longer = f"{any_char}{{{least_chars - 2},}}{visible}" if least_chars > 1 else ""
+    found = F.regexp_count(text, F.lit(f"{visible}{longer}{any_char}*"))
+    return F.when(text.isNull(), 0).otherwise(found)
 
 
 def _long_lines(docs: DataFrame, least_chars: int) -> DataFrame:
     """Every line that counts, with its place."""
-    return docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("at", "line")).where(
+    said = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return said.select("doc_id", "at", _trimmed(F.col("line")).alias("line")).where(
         F.length("line") >= least_chars
     )
 
@@ -133,39 +144,42 @@ def _long_lines(docs: DataFrame, least_chars: int) -> DataFrame:
 def _keys(lines: DataFrame, edits: int, least_chars: int) -> DataFrame:
     """Hashes ``key`` under which each line is listed (``listed``) or probes.
 
-    A probe for a segment of a line that is ``less`` code points shorter starts at most so far
-    from the segment's place that edits before and after it are enough to explain the shift.
+    Lengths are dealt to ranges of ``4 * edits``; the shortest line of a range is cut into segments of
+    one size, and all lines of the range have those of the first half at the same places from their
+    start, the others from their end. Between two lines within ``edits`` edits one segment is whole
+    that has as many edits before it as segments, and the rest at most after it; that bounds how far
+    a probe is from the segment's place. A line probes its own range, and the one below where that
+    has lines that are at most ``edits`` shorter.
     """
-    parts = edits + 1
-    probes = [
-        (less, i, shift)
-        for less in range(edits + 1)
+    parts, width = edits + 1, max(4 * edits, 1)
+    places = [
+        (i, shift)
         for i in range(parts)
-        for shift in range(-edits, edits + 1)
-        # Left and right of the first whole segment there are i edits at most, and the rest.
-        if abs(shift) <= i and abs(less - shift) <= edits - i
+        for shift in range(-min(i, edits - i), min(i, edits - i) + 1)
     ]
-    probe = F.explode(
-        F.array(*[F.expr(f"named_struct('less', {x}, 'i', {i}, 'shift', {y})") for x, i, y in probes])
-    )
+    # The places under which a line is listed come first.
+    places.sort(key=lambda place: place[1] != 0)
+
+    def key(i: int, shift: int, base: str) -> str:
+        size = f"int(({base}) div {parts})"
+        if 2 * i <= edits:
+            start = f"1 + {size} * {i} + {shift}"
+        else:
+            start = f"length - {size} * {parts - i} + 1 + {shift}"
+        return f"xxhash64({base}, {i}, substring(line, {start}, {size}))"
+
+    def below(i: int, shift: int) -> str:
+        # By how much a line can be shorter with so many edits on either side.
+        most = min(edits, shift + edits - i if 2 * i <= edits else i - shift)
+        return f"if(base > {least_chars} AND length - base < {most}, {key(i, shift, f'base - {width}')}, null)"
+
+    keys = [key(*place, "base") for place in places] + [below(*place) for place in places]
     return (
-        lines.select("line_id", "line", F.length("line").alias("length"), probe.alias("p"))
-        .selectExpr("line_id", "line", "length", "p.less", "p.i", "p.shift", "length - p.less AS other")
-        .where(F.col("other") >= least_chars)
-        # Segments of the other line: the later ones are longer by one.
-        .selectExpr(
-            "*", f"int(other div {parts}) AS short", f"other % {parts} - ({parts} - i) AS over"
-        )
-        .selectExpr(
-            "*", "1 + short * i + greatest(over, 0) + shift AS start",
-            "short + if(over >= 0, 1, 0) AS size",
-        )
-        .where("start >= 1 AND start + size <= length + 1")
-        .selectExpr(
-            "line_id",
-            "xxhash64(other, i, substring(line, start, size)) AS key",
-            "less = 0 AND shift = 0 AS listed",
-        )
+        lines.select("line_id", "line", F.length("line").alias("length"))
+        .withColumn("base", F.expr(f"length - (length - {least_chars}) % {width}"))
+        .select("line_id", F.posexplode(F.array(*[F.expr(k) for k in keys])).alias("place", "key"))
+        .where("key IS NOT NULL")
+        .select("line_id", "key", (F.col("place") < parts).alias("listed"))
     )
 
 
@@ -189,28 +203,24 @@ def _links(lines: DataFrame, edits: int, least_chars: int, most_chars: int | Non
     # Most keys are of one line: they stay where they are.
     met = maybe_among(keys, meeting, ["key"], True).join(meeting, "key").distinct()
     met = stored(met, "met-lines")
-    texts = maybe_among(lines, met, ["line_id"], True).withColumn("chars", _chars(F.col("line")))
-    sketched = stored(
-        texts.select(
-            "line_id", "line", F.length("line").alias("length"),
-            _parities(F.col("chars"), 1).alias("ones"), _parities(F.col("chars"), 2).alias("twos"),
-        ),
-        "line-sketches",
-    )
-    places = met.join(sketched.drop("line"), "line_id")
-    a, b = places.where("listed").alias("a"), places.alias("b")
+    texts = stored(maybe_among(lines, met, ["line_id"], True), "met-texts")
+    sketches = stored(_sketches(texts), "line-sketches")
+    places = met.join(sketches, "line_id")
+    # The range of lengths of a key is wider than what edits explain: lengths are part of the join.
+    a = places.where("listed").alias("a")
+    shorter = F.explode(F.sequence(F.col("length") - edits, F.col("length")))
+    b = places.withColumn("other", shorter).alias("b")
     # The bounds are part of the join: pairs that fail them are not made.
     near = a.join(
         b,
-        F.expr(f"""a.key = b.key AND a.line_id <> b.line_id
-            AND abs(a.length - b.length) <= {edits}
+        F.expr(f"""a.key = b.key AND a.length = b.other AND a.line_id <> b.line_id
             AND bit_count(a.ones ^ b.ones) <= {2 * edits}
             AND bit_count(a.twos ^ b.twos) <= {4 * edits}"""),
     ).select(
         F.least("a.line_id", "b.line_id").alias("a"), F.greatest("a.line_id", "b.line_id").alias("b")
     )
     near = stored(near.distinct(), "near-lines")
-    one, two = (sketched.selectExpr(f"line_id AS {x}", f"line AS {x}_line") for x in ("a", "b"))
+    one, two = (texts.selectExpr(f"line_id AS {x}", f"line AS {x}_line") for x in ("a", "b"))
     within = banded_distance(F.col("a_line"), F.col("b_line"), edits) <= edits
     return near.join(one, "a").join(two, "b").where(within).select("a", "b")
 
@@ -219,18 +229,29 @@ def _chars(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
 
 
-def _parities(chars: Column, n: int) -> Column:
-    """60 bits: for each hash of ``n`` neighbouring characters, whether they occur an odd number
-    of times. An edit changes ``2 * n`` of them at most."""
+def _sketches(texts: DataFrame) -> DataFrame:
+    """``line_id, length, ones, twos``: parities of the characters, and of neighbouring two.
+
+    60 bits each: for each hash, whether it occurs an odd number of times. An edit changes 2 bits at
+    most of the first and 4 of the second.
+    """
     one = F.lit(1).cast("bigint")
 
-    def bit(i: Column) -> Column:
-        gram = [F.get(chars, i + k) for k in range(n)]
+    def bit(*gram: Column) -> Column:
         place = F.pmod(F.xxhash64(*gram), F.lit(60)).cast("int")
         return F.call_function("shiftleft", one, place)
 
-    places = F.sequence(F.lit(0), F.size(chars) - n)
-    return F.aggregate(places, F.lit(0).cast("bigint"), lambda bits, i: bits.bitwiseXOR(bit(i)))
+    chars = texts.select("line_id", F.split("line", "").alias("chars"))
+    following = F.get("chars", F.col("i") + 1)
+    return (
+        chars.select("line_id", "chars", F.posexplode("chars").alias("i", "char"))
+        .groupBy("line_id")
+        .agg(
+            F.count("*").cast("int").alias("length"),
+            F.bit_xor(bit(F.col("char"))).alias("ones"),
+            F.bit_xor(F.when(following.isNotNull(), bit(F.col("char"), following)).otherwise(F.lit(0))).alias("twos"),
+        )
+    )
 
 
 # --- edit distance ---------------------------------------------------------------------------

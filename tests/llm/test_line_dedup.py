@@ -6,7 +6,7 @@ import pytest
 from odd_texts import ODD_TEXTS
 from pyspark.sql import functions as F
 
-from tallybook.llm.line_dedup import banded_distance, near_duplicate_lines
+from tallybook.llm.line_dedup import _keys, _links, banded_distance, near_duplicate_lines
 from tallybook.llm.queries import op8_line_dedup
 
 
@@ -152,6 +152,51 @@ def test_query_drops_repeated_short_lines(spark):
     assert sum(r.n_dropped for r in op8_line_dedup(spark, path).collect()) >= repeats
 
 
+def test_few_keys_for_each_line(spark):
+    rnd = random.Random(3)
+    rows = [(i, "".join(rnd.choices("abcé😀 xyz", k=24 + i % 80))) for i in range(800)]
+    lines = spark.createDataFrame(rows, "line_id bigint, line string")
+    keys = _keys(lines, 2, 24)
+    assert keys.count() <= 6 * len(rows)
+    assert keys.where("listed").count() == 3 * len(rows)
+
+
+@pytest.mark.parametrize("edits, least", [(1, 12), (2, 24), (3, 12)])
+def test_links_across_lengths(spark, edits, least):
+    rnd = random.Random(edits)
+    rows, expected = [], set()
+    for i in range(1200):
+        line = "".join(rnd.choices("abcdefghijklmnopqrstuvwé😀", k=least + i % (9 * edits)))
+        other = changed(rnd, line, rnd.randint(1, edits + 1))
+        if i % 3 == 0:
+            # All edits of one kind, next to each other.
+            at, cut = rnd.randrange(len(line) - edits), rnd.random() < 0.5
+            other = line[:at] + line[at + edits :] if cut else line[:at] + "xyz"[:edits] + line[at:]
+        if other == line:
+            continue
+        rows += [(2 * i, line), (2 * i + 1, other)]
+        if len(other) >= least and distance(line, other) <= edits:
+            expected.add((2 * i, 2 * i + 1))
+    frame = spark.createDataFrame(rows, "line_id bigint, line string").repartition(4)
+    assert {(r.a, r.b) for r in _links(frame, edits, least, None).collect()} == expected
+    assert len(expected) > 600
+
+
+def test_no_edits(spark):
+    rows = [(1, "one line of more than twenty-four"), (2, "one line of more than twenty-four\nOne line of more than twenty-four")]
+    found = answers(near_duplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), 0))
+    assert found == [(1, rows[0][1], 1, 0), (2, "One line of more than twenty-four", 2, 1)]
+
+
+@pytest.mark.parametrize("least", [None, 2, 3, 30])
+def test_blanks_at_the_ends(spark, least):
+    rnd = random.Random(least)
+    rows = [(i, "".join(rnd.choices("ab \t\r\n\u00a0", k=rnd.randint(0, 9)))) for i in range(300)]
+    rows += [(400, " \t\r"), (401, "\n \r"), (402, "a" * 30 + " \t\r"), (403, "\t " + "a" * 30)]
+    found = answers(near_duplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), 0, least))
+    assert found == plain(rows, 0, least or 1)
+
+
 def test_empty_table_and_bounds(spark):
     frame = spark.createDataFrame([], "doc_id bigint, text string")
     assert answers(near_duplicate_lines(frame)) == []
