@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 21
+# For work whose arrays are many times as long as the text: they then stay in the CPU's cache too.
+SMALL_SLICE_BYTES = 1 << 19
 _CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.arrays import (
     ALPHANUMERIC,
+    SMALL_SLICE_BYTES,
     Texts,
     gram_hashes,
     mix,
@@ -124,7 +125,7 @@ def _fingerprints(rows: DataFrame, key: str, shared, count: str | None) -> DataF
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, short = shared.value if shared is not None else (None, None)
         for batch in batches:
-            for texts in text_slices(batch.column("text")):
+            for texts in text_slices(batch.column("text"), SMALL_SLICE_BYTES):
                 keys = batch.column(key).slice(texts.first, len(texts))
                 words, prints = _prints(texts, bitmap, short)
                 columns, names = [keys, prints], [key, "prints"]

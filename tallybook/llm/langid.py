@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.arrays import (
     LETTERS,
+    SMALL_SLICE_BYTES,
     Texts,
     lower_ascii,
     many_span_hashes,
@@ -99,11 +100,8 @@ def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            slices = text_slices(batch.column("text"))
-            answers = [_documents(texts, shared.value) for texts in slices]
+            best, scores = _column(batch.column("text"), shared.value)
             names = [*shared.value.languages, UNDETERMINED]
-            best = np.concatenate([a for a, _ in answers])
-            scores = np.concatenate([b for _, b in answers])
             predicted = pa.array(names, pa.string()).take(pa.array(best))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in columns], predicted, pa.array(scores)],
@@ -239,6 +237,13 @@ def word_languages(texts: Texts, model: Model) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, _posteriors(emissions, first, model)
 
 
+def _column(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """``_documents`` of a column's texts, of which there is at least one."""
+    slices = text_slices(column, SMALL_SLICE_BYTES)
+    best, scores = zip(*[_documents(texts, model) for texts in slices])
+    return np.concatenate(best), np.concatenate(scores)
+
+
 def _documents(texts: Texts, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Number of the likeliest language of each text, and its probability."""
     n = len(model.languages)

@@ -28,7 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.arrays import NON_SPACE, Texts, gram_hashes, mix, runs, text_slices, word_hashes
+from tallybook.llm.arrays import (
+    NON_SPACE,
+    SMALL_SLICE_BYTES,
+    Texts,
+    gram_hashes,
+    mix,
+    runs,
+    text_slices,
+    word_hashes,
+)
 from tallybook.llm.components import connected_components
 from tallybook.llm.keys import join_counted, maybe_among
 from tallybook.llm.storage import stored
@@ -151,7 +160,7 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int32)
         for batch in batches:
-            for texts in text_slices(batch.column("text")):
+            for texts in text_slices(batch.column("text"), SMALL_SLICE_BYTES):
                 grams = np.concatenate([*_sets(texts, words), np.zeros(0, np.uint64)])
                 low = (grams & np.uint64(size - 1)).astype(np.int64)
                 counts += np.bincount(low, minlength=size).astype(np.int32)
@@ -191,7 +200,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, sketch) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for batch in batches:
-            for texts in text_slices(batch.column("text")):
+            for texts in text_slices(batch.column("text"), SMALL_SLICE_BYTES):
                 sizes, first, second, prefixes, parities = [], [], [], [], []
                 for grams, sums in _identified(texts, words):
                     n = len(grams)
@@ -229,7 +238,7 @@ def _texts(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in text_slices(batch.column("text")):
+            for texts in text_slices(batch.column("text"), SMALL_SLICE_BYTES):
                 sums = np.array([sums for _, sums in _identified(texts, words)], np.uint64)
                 first, second = np.ascontiguousarray(sums.reshape(-1, 2).T).view(np.int64)
                 text = batch.column("text").slice(texts.first, len(texts))
@@ -383,7 +392,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     """Whether each pair is linked, by the intersection of the sets of the whole texts."""
 
     def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
-        for texts in text_slices(column):
+        for texts in text_slices(column, SMALL_SLICE_BYTES):
             yield from map(np.unique, _sets(texts, words))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

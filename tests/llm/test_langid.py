@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -114,3 +115,21 @@ def test_labels_of_held_out_documents_are_not_used(spark):
     one, two = (train(d.where(~held_out())) for d in (docs, other))
     assert one.languages == two.languages
     np.testing.assert_array_equal(one.weights, two.weights)
+
+
+def test_working_memory_is_a_small_multiple_of_a_slice():
+    rnd = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rnd.integers(0, 26, rnd.integers(2, 9))) for _ in range(500)]
+    texts = pa.array([" ".join(rnd.choice(words, 400)) for _ in range(2500)])
+    n = 4
+    weights = rnd.random((1 << module.FEATURE_BITS, n), np.float32)
+    model = Model(list("abcd"), weights, rnd.random((n, n)), rnd.random(n))
+    module._column(texts.slice(0, 1), model)
+    tracemalloc.start()
+    best, scores = module._column(texts, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 5_000_000 and peak < 100 * 2**20
+    alone = [module._column(texts.slice(i, 1), model) for i in range(0, 2500, 250)]
+    assert [int(b[0]) for b, _ in alone] == best[::250].tolist()
+    assert np.allclose([s[0] for _, s in alone], scores[::250])

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from odd_texts import DOCUMENTS, ODD_TEXTS
 from pyspark.sql import functions as F
@@ -120,3 +121,34 @@ def test_null_and_repeated_ids(spark, folder):
     assert len(set(slots)) == len(rows) and max(slot for _, slot in slots) == 0
     spoken = rows_of(stages["language_id"](spark, docs, path))
     assert set(spoken) <= set(rows) and not any(r[1] is None for r in spoken)
+
+
+@pytest.mark.parametrize(
+    "stage, operator",
+    [
+        ("language_id", "langid.train"),
+        ("near_duplicates", "ngram_join.similar_documents"),
+        ("decontamination", "decontamination.benchmark_hits"),
+    ],
+)
+def test_batches_of_texts_are_bounded_by_bytes(spark, folder, monkeypatch, stage, operator):
+    path, _, _ = folder
+    long = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("word "), 5000).alias("text"))
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    class Begun(Exception):
+        pass
+
+    def begun(*_, **__):
+        sizes = [r["size"] for r in long.mapInArrow(size, "size bigint").collect()]
+        assert sum(sizes) > 400 * 25_000 and max(sizes) < 1.1 * corpus_pipeline.BATCH_BYTES
+        raise Begun
+
+    monkeypatch.setattr(f"tallybook.llm.{operator}", begun)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    with pytest.raises(Begun):
+        dict(corpus_pipeline.STAGES)[stage](spark, docs, path)
