@@ -5,10 +5,11 @@ n-grams first, by a table of counts of one fixed size over the whole corpus. Two
 the threshold share an n-gram among the first few of each (the prefix), so only prefixes are
 joined. Pairs that meet must also agree in length, leave enough n-grams after the place where they
 meet (positional filter), and may not be known to differ in too many n-grams. For that each place
-carries one parity bit for each of 512 classes of its set's n-grams: two sets differ in at least as
+gets one parity bit for each of 512 classes of its set's n-grams: two sets differ in at least as
 many n-grams as bits. This is the Hamming bound of a suffix filter, taken over the whole set, since
 rare-first order leaves what near copies differ in before the suffix. All three are tested as
-places meet. Only then is a pair verified, by its whole texts.
+places meet; where few sets share an n-gram, the first two are tested before, so that parities go
+only to places that may be part of a pair. Only then is a pair verified, by its whole texts.
 
 Documents of equal sets are one node. In a large group of near copies, most pairs lie inside one
 component after few links are known: a round of pivots compares all that share an n-gram with some
@@ -21,7 +22,7 @@ are made there: compressed, a text takes little over half of the room of its has
 """
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,15 @@ from tallybook.llm.arrays import (
     word_hashes,
 )
 from tallybook.llm.components import connected_components
-from tallybook.llm.keys import join_counted, maybe_among
+from tallybook.llm.keys import join_counted, maybe_among, without
 from tallybook.llm.storage import stored
 
 SKETCH_BITS = 21
 CLASS_BITS = 9  # the highest bits of a hash are the class of an n-gram
 # How many sets each round draws at every place, to be compared with all others there.
 PIVOTS = (16,)
+# Places of an n-gram that so few sets share are compared before parities are sent to them.
+FEW = 16
 # Places of one n-gram are dealt to so many tasks that each has about this many of them.
 PLACES = 256
 # About so many sets, or n-grams in them, make a block of a component.
@@ -87,17 +90,18 @@ def similar_documents(
         "sets",
     )
     total = real.count()
-    heads = real.join(sets.select(F.col("set_id").alias("row")), "row", "left_semi").select(
+    repeats = stored(
+        real.select("row").join(sets.select(F.col("set_id").alias("row")), "row", "left_anti"),
+        "repeats",
+    )
+    # Most rows are surely no repeats, and stay where they are with their prefixes.
+    heads = without(real, repeats, ["row"]).select(
         F.col("row").alias("set_id"), "doc_id", "s1", "s2", "n", "prefix", "parity"
     )
     heads = stored(heads, "heads")
-    places = heads.select("set_id", "n", "parity", F.posexplode("prefix").alias("at", "gram"))
-    meeting = (
-        places.groupBy("gram")
-        .agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"))
-        .where("low < high")
-        .select("gram")
-    )
+    places = heads.select("set_id", "n", F.posexplode("prefix").alias("at", "gram"))
+    # A set has an n-gram once, so places are sets.
+    meeting = places.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
     meeting = stored(meeting, "meeting")
     places = stored(maybe_among(places, meeting, ["gram"], True).join(meeting, "gram"), "places")
     links = _links(docs, words, percent, heads, places)
@@ -172,7 +176,7 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
             rows = zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist())
             for piece, counts in rows:
                 sums.setdefault(piece, np.zeros(_PIECE, np.int64))
-                sums[piece] += np.frombuffer(counts, np.int32)
+                sums[piece] += _counts(counts)
         # Only the order of the counts matters; the greatest ones may be cut to 32 bits.
         yield _pieces(sums, [np.minimum(s, (1 << 31) - 1).astype(np.int32) for s in sums.values()])
 
@@ -180,17 +184,28 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
     counted = docs.select("text").mapInArrow(count, schema).repartition("piece")
     sketch = np.zeros((size // _PIECE, _PIECE), np.int32)
     for row in counted.mapInArrow(add, schema).collect():  # one fixed size in all
-        sketch[row.piece] = np.frombuffer(row.counts, np.int32)
+        sketch[row.piece] = _counts(row.counts)
     return sketch.ravel()
 
 
 def _pieces(pieces, counts) -> pa.RecordBatch:
+    """Counts as compressed bytes, the lowest ones of all counts first: most others are zero."""
+    packed = [
+        pa.compress(c.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+        for c in counts
+    ]
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(pieces), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())],
+        [pa.array(list(pieces), pa.int32()), pa.array(packed, pa.binary())],
         names=["piece", "counts"],
     )
 
 
+def _counts(packed: bytes) -> np.ndarray:
+    whole = pa.decompress(packed, 4 * _PIECE, codec="zstd", asbytes=True)
+    columns = np.frombuffer(whole, np.uint8).reshape(4, _PIECE)
+    return np.ascontiguousarray(columns.T).view(np.int32).ravel()
+
+
 def _prefixes(docs: DataFrame, words: int, percent: int, sketch) -> DataFrame:
     """Per document the size of its set, two sums that identify the set, its prefix, and the
     parities of its classes."""
@@ -257,7 +272,6 @@ def _links(
     docs: DataFrame, words: int, percent: int, heads: DataFrame, places: DataFrame
 ) -> DataFrame:
     """Links ``a < b`` between sets, enough to connect whatever any link connects."""
-    heads = heads.drop("prefix")
     labels = verified = None
     for number, pivots in enumerate([*PIVOTS, None]):
         labelled = places.withColumn("root", F.col("set_id"))
@@ -269,9 +283,11 @@ def _links(
             )
         # Pivots save nothing where there are hardly more sets than pivots.
         least = 1 if pivots is None else max(PIVOTS)
-        labelled = stored(_undecided(labelled, least), "undecided")
+        labelled = stored(_undecided(labelled, least, percent), "undecided")
         if pivots is None:
-            pairs = _all_pairs(labelled, percent)
+            # Parities are eight times as wide as the rest of a place: they join it last.
+            parities = heads.select("set_id", "parity")
+            pairs = _all_pairs(labelled.join(parities, "set_id"), percent)
         else:
             pairs = _pivot_pairs(labelled, percent, number, pivots)
         pairs = pairs.distinct()
@@ -288,36 +304,53 @@ def _links(
     return links
 
 
-def _undecided(labelled: DataFrame, least: int) -> DataFrame:
+def _undecided(labelled: DataFrame, least: int, percent: int) -> DataFrame:
     """Places where sets of several components meet, more than ``least`` sets in all, with the
-    largest of those components and the number of tasks they are dealt to."""
-    by_root = labelled.groupBy("gram", "root").agg(F.count("*").alias("size"))
+    largest of those components and the number of tasks they are dealt to.
+
+    Where at most ``FEW`` sets meet, only places are left that pass the length and positional
+    filters with another one.
+    """
+    labelled = labelled.where(F.col("held") > least)
+    few = labelled.where(F.col("held") <= FEW).groupBy("gram").agg(
+        F.collect_list(F.struct(*_OF_SET)).alias("places")
+    )
+    few = (
+        few.withColumn(
+            "places",
+            F.filter("places", lambda x: F.exists("places", lambda y: _may_reach(x, y, percent))),
+        )
+        .withColumn("main", F.array_max(F.transform("places", lambda x: x["root"])))
+        .selectExpr("gram", "main", "1 AS parts", "inline(places)")
+    )
+    many = labelled.where(F.col("held") > FEW)
+    by_root = many.groupBy("gram", "root").agg(F.count("*").alias("size"))
     by_gram = (
         by_root.groupBy("gram")
-        .agg(
-            F.max_by("root", "size").alias("main"),
-            F.count("*").alias("roots"),
-            F.sum("size").alias("all"),
-        )
-        .where((F.col("roots") > 1) & (F.col("all") > least))
-        .select("gram", "main", F.ceil(F.col("all") / PLACES).cast("int").alias("parts"))
+        .agg(F.max_by("root", "size").alias("main"), F.count("*").alias("roots"))
+        .where("roots > 1")
+        .select("gram", "main")
     )
-    return labelled.join(by_gram, "gram")
+    parts = F.ceil(F.col("held") / PLACES).cast("int").alias("parts")
+    columns = "gram", *_OF_SET, "main"
+    many = many.join(by_gram, "gram").select(*columns, parts)
+    return few.select(*columns, "parts").unionByName(many)
 
 
 def _all_pairs(labelled: DataFrame, percent: int) -> DataFrame:
     """Pairs across components; at least one of each is outside its place's main component."""
+    columns = *_OF_SET, "parity"
     x = labelled.where("root <> main").select(
-        "gram", "parts", *[F.col(c).alias(f"x_{c}") for c in (*_OF_SET, "parity")]
+        "gram", "parts", *[F.col(c).alias(f"x_{c}") for c in columns]
     )
-    return _filtered(_met(x, labelled), percent, True)
+    return _filtered(_met(x, labelled, columns), percent, True)
 
 
-def _met(x: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Each of ``x`` with all places of its n-gram, which are dealt to several parts where they are
-    many; ``x`` goes to all of them."""
+def _met(x: DataFrame, labelled: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each of ``x`` with ``columns`` of all places of its n-gram, which are dealt to several parts
+    where they are many; ``x`` goes to all of them."""
     part = F.expr("int(pmod(xxhash64(set_id), parts))").alias("part")
-    y = labelled.select("gram", part, *[F.col(c).alias(f"y_{c}") for c in (*_OF_SET, "parity")])
+    y = labelled.select("gram", part, *[F.col(c).alias(f"y_{c}") for c in columns])
     x = x.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
     return y.join(x, ["gram", "part"])
 
@@ -338,7 +371,7 @@ def _pivot_pairs(labelled: DataFrame, percent: int, number: int, pivots: int) ->
         .agg(*chosen)
         .selectExpr("gram", "parts", f"inline(array({structs}))")
     )
-    return _filtered(_met(x.distinct(), labelled), percent, False)
+    return _filtered(_met(x.distinct(), labelled, _OF_SET), percent, False)
 
 
 _OF_SET = "set_id", "n", "at", "root"
@@ -346,13 +379,8 @@ _OF_SET = "set_id", "n", "at", "root"
 
 def _filtered(met: DataFrame, percent: int, parities: bool) -> DataFrame:
     """Length and positional filter, and the bound by parities where both sides have them."""
-    x_n, y_n = F.col("x_n"), F.col("y_n")
-    after = F.least(x_n - F.col("x_at"), y_n - F.col("y_at"))
-    met = met.where(
-        (F.col("x_root") != F.col("y_root"))
-        & (100 * F.least(x_n, y_n) >= percent * F.greatest(x_n, y_n))
-        & (after >= _needed(x_n, y_n, percent))
-    )
+    x, y = ({c: F.col(f"{side}_{c}") for c in _OF_SET} for side in "xy")
+    met = met.where(_may_reach(x, y, percent))
     if parities:
         met = met.where(_may_agree("x", "y", percent))
     return met.select(
@@ -360,6 +388,18 @@ def _filtered(met: DataFrame, percent: int, parities: bool) -> DataFrame:
     )
 
 
+def _may_reach(
+    x: Mapping[str, Column] | Column, y: Mapping[str, Column] | Column, percent: int
+) -> Column:
+    """Whether places of two components pass the length and positional filters."""
+    after = F.least(x["n"] - x["at"], y["n"] - y["at"])
+    return (
+        (x["root"] != y["root"])
+        & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+        & (after >= _needed(x["n"], y["n"], percent))
+    )
+
+
 def _may_agree(x: str, y: str, percent: int) -> Column:
     """Whether the parities leave enough overlap: a class of unlike parity has an n-gram that only
     one of the sets has."""

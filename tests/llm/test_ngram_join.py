@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from odd_texts import ODD_TEXTS
 
@@ -100,6 +101,52 @@ def test_pivot_rounds_lose_nothing(spark, monkeypatch):
     assert len(rounds) == 2
 
 
+def test_few_places_need_a_partner(spark):
+    """Places of sets that cannot be linked go to no task; here ``gram, set_id, n, at, root``."""
+    places = [(1, 1, 10, 0, 1), (1, 2, 100, 0, 2)]  # too different in length
+    places += [(2, 1, 100, 9, 1), (2, 2, 100, 9, 2)]  # too few n-grams are left
+    places += [(3, 1, 100, 5, 1), (3, 2, 100, 5, 2)]
+    places += [(4, 1, 100, 0, 1), (4, 2, 100, 0, 2), (4, 3, 10, 0, 3)]
+    places += [(5, 1, 100, 0, 1), (5, 2, 100, 0, 1)]  # one component
+    places += [(6, i, 100, 0, i) for i in range(module.FEW + 1)]
+    held = {gram: sum(p[0] == gram for p in places) for gram in range(1, 7)}
+    frame = spark.createDataFrame(
+        [(*p, held[p[0]]) for p in places],
+        "gram bigint, set_id bigint, n bigint, at int, root bigint, held bigint",
+    )
+    for least in (1, 2):
+        found = module._undecided(frame, least, 90).collect()
+        kept = {3: {1, 2}, 4: {1, 2}, 6: set(range(module.FEW + 1))}
+        kept = {gram: sets for gram, sets in kept.items() if held[gram] > least}
+        assert len(found) == sum(map(len, kept.values()))
+        assert {g: {r.set_id for r in found if r.gram == g} for g in kept} == kept
+        assert {r.main for r in found if r.gram == 4} <= {1, 2}
+
+
+@pytest.mark.parametrize("few", [0, 2, 1000])
+def test_parities_stay_with_their_sets(spark, rows, monkeypatch, few):
+    monkeypatch.setattr(module, "FEW", few)
+    columns = {}
+    real = module.stored
+    monkeypatch.setattr(
+        module,
+        "stored",
+        lambda frame, label: columns.setdefault(label, set(frame.columns)) and real(frame, label),
+    )
+    some = rows[60:230]
+    frame = spark.createDataFrame(some, "doc_id bigint, text string")
+    assert answers(similar_documents(frame, 3, 90)) == all_pairs(some, 3, 90)
+    assert "parity" in columns["heads"] and "parity" not in columns["places"] | columns["undecided"]
+
+
+def test_counts_are_sent_compressed():
+    counts = np.random.default_rng(3).poisson(3, module._PIECE).astype(np.int32)
+    counts[:3] = 0, (1 << 31) - 1, 70000
+    (packed,) = module._pieces([0], [counts]).column("counts").to_pylist()
+    assert 8 * len(packed) < counts.nbytes
+    assert (module._counts(packed) == counts).all()
+
+
 def test_number_of_links(spark):
     said = " ".join(f"w{i}" for i in range(100))
     rows = [(1, said), (2, said + " x"), (3, said), (4, "other words here")]
